@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import mixing, pieces
+from gridloom.llm import addressable, mixing, pieces, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_files": addressable.op1_token_files,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op8_fingerprints": winnowing.op8_fingerprints,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
