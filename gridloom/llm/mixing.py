@@ -26,6 +26,8 @@ from gridloom.llm.words import word_counts
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BITS, LEVELS = 12, 4
+#: Rows of the sources' table (under 100 bytes each) up to which it is sent to every task.
+BROADCAST_SOURCES = 50_000
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +71,12 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: int =
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def _thresholds(documents: DataFrame, budgets: DataFrame) -> DataFrame:
+def _beside(table: DataFrame, sources: int) -> DataFrame:
+    """The table of sources, broadcast while its counted rows stay within ``BROADCAST_SOURCES``."""
+    return F.broadcast(table) if sources <= BROADCAST_SOURCES else table
+
+
+def _thresholds(documents: DataFrame, budgets: DataFrame, sources: int) -> DataFrame:
     """source, threshold: documents of lower hash take one more copy.
 
     ``first`` is the start of the bucket in which the budget ends and ``before`` the words in front of it.
@@ -78,14 +85,14 @@ def _thresholds(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         shift = BITS * (LEVELS - level - 1)
         width = 1 << shift
-        inside = documents.alias("d").join(state.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+        inside = documents.alias("d").join(_beside(state, sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
         if level:
             inside = inside.where((F.col("d.h") >= F.col("s.first")) & (F.col("d.h") < F.col("s.first") + (width << BITS)))
         slot = F.floor(F.col("d.h") / F.lit(width)).cast("long") * F.lit(width)
         histogram = inside.groupBy(F.col("d.source").alias("source"), slot.alias("slot")).agg(F.sum("d.size").alias("words"))
         inside_bucket = Window.partitionBy("source").orderBy("slot")
         running = histogram.withColumn("upto", F.sum("words").over(inside_bucket))
-        ends = running.alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+        ends = running.alias("r").join(_beside(state, sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
         found = ends.where(F.col("s.before") + F.col("r.upto") > F.col("s.budget")).groupBy(F.col("s.source").alias("source")).agg(F.min_by(F.struct("r.slot", (F.col("s.before") + F.col("r.upto") - F.col("r.words")).alias("before"), F.col("r.words").alias("words")), F.col("r.slot")).alias("end"))
         state = budgets.alias("b").join(found.alias("f"), F.col("b.source").eqNullSafe(F.col("f.source")), "left").select(
             "b.source", "b.budget", F.coalesce("f.end.slot", F.lit(1 << 62)).alias("first"), F.coalesce("f.end.before", F.lit(0)).alias("before"), F.coalesce("f.end.words", F.lit(0)).alias("words")
@@ -101,7 +108,7 @@ def _limits(own: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goals = goals.withColumn("whole", F.least(ratio, F.lit(most).cast("long"))).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     goals = written(goals, "mix-targets")
-    ends = _thresholds(own, goals)
+    ends = _thresholds(own, goals, goals.count())
     return written(goals.alias("g").join(ends.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source")), "left").select("g.*", "t.threshold"), "mix-limits")
 
 
@@ -112,7 +119,8 @@ def _copies(h: Column, most: int) -> Column:
 def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every document."""
     own = written(sized(documents), "mix-sizes")
-    joined = own.alias("d").join(_limits(own, weights, most).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+    limits = _limits(own, weights, most)
+    joined = own.alias("d").join(_beside(limits, limits.count()).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     copies = _copies(F.col("d.h"), most)
     return joined.select("d.doc_id", "d.source", "d.size", "g.source_size", "g.target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
 
@@ -125,7 +133,7 @@ def mixed_rows(documents: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
     """
     own = written(sized(documents), "mix-sizes")
     limits = _limits(own, weights, most)
-    joined = documents.alias("d").join(limits.alias("g"), F.col("d.source").cast("string").eqNullSafe(F.col("g.source")))
+    joined = documents.alias("d").join(_beside(limits, limits.count()).alias("g"), F.col("d.source").cast("string").eqNullSafe(F.col("g.source")))
     copies = _copies(hash48(F.col("d.doc_id").cast("long")), most).cast("int")
     return joined.where(copies > 0).select("d.*", F.explode(F.array_repeat(F.lit(1), copies)).alias("__turn")).drop("__turn")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import addressable, mixing, pieces, winnowing
+from gridloom.llm import addressable, mixing, pieces, topk, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": addressable.op1_token_files,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_exact_topk": topk.op7_exact_topk,
         "op8_fingerprints": winnowing.op8_fingerprints,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op7_exact_topk": topk.ORACLE}
