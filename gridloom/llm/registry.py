@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import addressable, mixing, pieces, topk, winnowing
+from gridloom.llm import addressable, htmlcrf, mixing, pieces, topk, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_exact_topk": topk.op7_exact_topk,
         "op8_fingerprints": winnowing.op8_fingerprints,
+        "op9_html_text": htmlcrf.op9_html_text,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
