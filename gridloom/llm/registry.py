@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import addressable, htmlcrf, mixing, pieces, topk, winnowing
+from gridloom.llm import addressable, htmlcrf, mixing, partenum, pieces, topk, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": addressable.op1_token_files,
+        "op2_jaccard_join": partenum.op2_jaccard_join,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op7_exact_topk": topk.op7_exact_topk,
         "op8_fingerprints": winnowing.op8_fingerprints,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op7_exact_topk": topk.ORACLE}
+    return {"op2_jaccard_join": partenum.ORACLE, "op4_mix_sources": mixing.ORACLE, "op7_exact_topk": topk.ORACLE}
