@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.scratch import spread, written
+from gridloom.llm.scratch import spread, without, written
 from gridloom.llm.words import hashed_texts, mix64, shingles
 
 SEEN = 1 << 17
@@ -249,12 +249,21 @@ def jaccard_classes(documents: DataFrame, join: Join) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, join: Join) -> DataFrame:
-    """The documents that stay: the least doc_id of every component, one row of it; rows of null doc_id and blank texts stay."""
-    classes = jaccard_classes(documents, join)
-    kept = classes.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    out = documents.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept"))).drop("__kept")
-    known = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.unionByName(out.where(F.col("doc_id").isNull()))
+    """The documents that stay: of every component the one of least doc_id; blank texts stay.
+
+    Of rows that share a doc_id one stays (the least text), if that document stays at all; rows of null doc_id stay.
+    """
+    classes = written(jaccard_classes(documents, join), "jaccard")
+    known = classes.where(F.col("doc_id").isNotNull())
+    gone = known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("linked"))
+    gone = written(gone.where("linked or rows > 1"), "linked")
+    out = without(documents, gone.select("doc_id"))
+    again = gone.where("not linked").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return out
+    first = documents.join(again, F.col("doc_id") == F.col("__again")).drop("__again")
+    turn = Window.partitionBy("doc_id").orderBy("text")
+    return out.unionByName(first.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn"))
 
 
 OP2 = Join(n=3, num=90, den=100, n2=3, k2=1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import addressable, htmlcrf, mixing, partenum, pieces, topk, winnowing
+from gridloom.llm import addressable, htmlcrf, mixing, partenum, pieces, quality, topk, winnowing, wordpieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
         "op1_token_files": addressable.op1_token_files,
         "op2_jaccard_join": partenum.op2_jaccard_join,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_quality": quality.op5_quality,
+        "op6_token_counts": wordpieces.op6_token_counts,
         "op7_exact_topk": topk.op7_exact_topk,
         "op8_fingerprints": winnowing.op8_fingerprints,
         "op9_html_text": htmlcrf.op9_html_text,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -32,3 +33,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+#: Ids (8 bytes each) up to which a list of documents to drop is sent to every task.
+BROADCAST_IDS = 1_000_000
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` whose doc_id is not in ``ids`` (one column, distinct); null ids compare equal.
+
+    The list is written and counted; up to ``BROADCAST_IDS`` it is broadcast, beyond that the join shuffles.
+    """
+    own = written(ids.toDF("__gone"), "gone")
+    if own.count() <= BROADCAST_IDS:
+        own = F.broadcast(own)
+    return documents.join(own, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
