@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import addressable, htmlcrf, mixing, partenum, pieces, quality, topk, winnowing, wordpieces
+from gridloom.llm import addressable, htmlcrf, mixing, partenum, pieces, pitmanyor, quality, topk, winnowing, wordpieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": addressable.op1_token_files,
         "op2_jaccard_join": partenum.op2_jaccard_join,
+        "op3_lm_scores": pitmanyor.op3_lm_scores,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op5_quality": quality.op5_quality,
         "op6_token_counts": wordpieces.op6_token_counts,
