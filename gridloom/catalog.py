@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from gridloom.plans import metric_queries, raster_queries, vector_queries  # noqa: F401  (they register themselves)
+from gridloom.plans.registry import ORACLES, QUERIES, Query
 
+FLAGSHIP = "zonal_stats"
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -1,0 +1,16 @@
+"""Structured Streaming forms of the stateless operators.
+
+The batch operators on pixels and features that neither join nor rank work on streams as they
+are; ``zonal_stream`` is the one aggregate with a streaming form.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def zonal_stream(observations: DataFrame, time: str, delay: str, zone: str, value: str) -> DataFrame:
+    """Running count, mean and extremes of ``value`` per zone and hour; rows later than ``delay`` are left out."""
+    late = observations.withWatermark(time, delay)
+    return late.groupBy(F.window(time, "1 hour"), zone).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
