@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -86,4 +87,4 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
         fold = min(range(folds), key=lambda f: (filled[f], f))
         filled[fold] += row["count"]
         out.append((row[group], fold))
-    return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", "int"))
+    return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", IntegerType()))

@@ -1,0 +1,168 @@
+"""Rank statistics, resampling, search and model selection over the candidate fixture."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gridloom.operators import metrics as me
+from gridloom.plans.registry import query
+
+THRESHOLDS = [round(0.2 + 0.025 * i, 3) for i in range(25)]
+RATIOS = (0.2, 0.4, 0.6, 0.8, 1.0)
+REPS = 200
+
+
+@query("cand", sql="""WITH k AS (SELECT is_building, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rk FROM cand), s AS (SELECT sum(rk) FILTER (is_building = 1) AS r, count(*) FILTER (is_building = 1) AS p, count(*) FILTER (is_building = 0) AS n FROM k)
+ SELECT round((r - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM s""")
+def q_roc_auc(cand: DataFrame) -> DataFrame:
+    return me.roc_auc(cand, "prob", "is_building").select(F.round("auc", 6).alias("auc"))
+
+
+@query("cand", sql="""WITH g AS (SELECT prob, sum(area) FILTER (is_building = 1) AS p, sum(area) FILTER (is_building = 0) AS n FROM cand GROUP BY prob), k AS (SELECT coalesce(p, 0) AS p, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (ORDER BY prob) - coalesce(n, 0) AS below FROM g)
+ SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM k""")
+def q_roc_auc_weighted(cand: DataFrame) -> DataFrame:
+    return me.roc_auc(cand, "prob", "is_building", F.col("area")).select(F.round("auc", 6).alias("auc"))
+
+
+@query("cand", sql="""WITH g AS (SELECT prob, sum(is_building) AS p, count(*) AS n FROM cand GROUP BY prob), k AS (SELECT p, sum(p) OVER (ORDER BY prob DESC) AS tp, sum(n) OVER (ORDER BY prob DESC) AS nn FROM g) SELECT round(sum(p * tp / nn) / sum(p), 6) AS ap FROM k""")
+def q_avg_precision(cand: DataFrame) -> DataFrame:
+    return me.average_precision(cand, "prob", "is_building").select(F.round("ap", 6).alias("ap"))
+
+
+@query("cand", sql="""WITH k AS (SELECT is_building, rank() OVER (ORDER BY area) + (count(*) OVER (PARTITION BY area) - 1) / 2.0 AS rk FROM cand), s AS (SELECT sum(rk) FILTER (is_building = 1) AS r, count(*) FILTER (is_building = 1) AS p, count(*) FILTER (is_building = 0) AS n FROM k)
+ SELECT round((r - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM s""")
+def q_mann_whitney(cand: DataFrame) -> DataFrame:
+    return me.mann_whitney(cand, "area", F.col("is_building") == 1).select(F.round("auc", 6).alias("auc"))
+
+
+_MW = lambda f: f"SELECT '{f}' AS feature, median({f}) FILTER (is_building = 1) AS yes, median({f}) FILTER (is_building = 0) AS no, (SELECT (sum(rk) FILTER (is_building = 1) - count(*) FILTER (is_building = 1) * (count(*) FILTER (is_building = 1) + 1) / 2.0) / (count(*) FILTER (is_building = 1) * count(*) FILTER (is_building = 0)) FROM (SELECT is_building, rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS rk FROM cand)) AS auc FROM cand"
+
+
+@query("cand", sql=f"WITH u AS ({' UNION ALL '.join(map(_MW, ('area', 'line_ratio', 'prob')))}) SELECT feature, round(yes, 6) AS yes, round(no, 6) AS no, round(auc, 6) AS auc, round(abs(auc - 0.5), 6) AS separation FROM u")
+def q_feature_separation(cand: DataFrame) -> DataFrame:
+    yes = F.col("is_building") == 1
+    long = cand.select("is_building", F.explode(F.create_map(*[x for f in ("area", "line_ratio", "prob") for x in (F.lit(f), F.col(f))])).alias("feature", "v"))
+    middle = long.groupBy("feature").agg(F.median(F.when(yes, F.col("v"))).alias("yes"), F.median(F.when(~yes, F.col("v"))).alias("no"))
+    counts = long.groupBy("feature", "v").agg(F.count_if(yes).alias("p"), F.count_if(~yes).alias("n"))
+    below = F.sum("n").over(Window.partitionBy("feature").orderBy("v")) - F.col("n")
+    auc = counts.select("feature", "p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("won")).groupBy("feature").agg((F.sum("won") / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return middle.join(auc, "feature").select("feature", F.round("yes", 6).alias("yes"), F.round("no", 6).alias("no"), F.round("auc", 6).alias("auc"), F.round(F.abs(F.col("auc") - 0.5), 6).alias("separation"))
+
+
+_PRF = "round(CASE WHEN p = 0 THEN 0.0 ELSE tp / p END, 6) AS precision, round(CASE WHEN t = 0 THEN 0.0 ELSE tp / t END, 6) AS recall, round(CASE WHEN p + t = 0 THEN 0.0 ELSE 2.0 * tp / (p + t) END, 6) AS f1"
+
+
+@query("cand", sql=f"WITH k AS (SELECT quadrant, sum(area) FILTER (prob >= 0.5 AND is_building = 1) AS tp, sum(area) FILTER (prob >= 0.5) AS p, sum(area) FILTER (is_building = 1) AS t FROM cand GROUP BY quadrant) SELECT quadrant, {_PRF} FROM k")
+def q_pixel_f1(cand: DataFrame) -> DataFrame:
+    kept, true = F.col("prob") >= 0.5, F.col("is_building") == 1
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("area"))), F.lit(0.0))
+    k = cand.groupBy("quadrant").agg(part(kept & true).alias("tp"), part(kept).alias("p"), part(true).alias("t"))
+    return k.select("quadrant", *[F.round(c, 6).alias(n) for c, n in zip(me.prf(F.col("tp"), F.col("p"), F.col("t")), ("precision", "recall", "f1"), strict=True)])
+
+
+@query("cand", sql="SELECT quadrant, count(*) FILTER (prob >= 0.5 AND is_building = 1) AS tp, count(*) FILTER (prob >= 0.5 AND is_building = 0) AS fp, count(*) FILTER (prob < 0.5 AND is_building = 1) AS fn, count(*) FILTER (prob < 0.5 AND is_building = 0) AS tn FROM cand GROUP BY GROUPING SETS ((), (quadrant))")
+def q_candidate_report(cand: DataFrame) -> DataFrame:
+    kept, true = F.col("prob") >= 0.5, F.col("is_building") == 1
+    return cand.groupingSets([[], ["quadrant"]], "quadrant").agg(F.count_if(kept & true).alias("tp"), F.count_if(kept & ~true).alias("fp"), F.count_if(~kept & true).alias("fn"), F.count_if(~kept & ~true).alias("tn"))
+
+
+_GRID = "(SELECT 0.2 + 0.025 * i AS threshold FROM range(0, 25) r(i))"
+
+
+@query("cand", sql=f"WITH k AS (SELECT round(threshold, 3) AS threshold, quadrant, count(*) FILTER (prob >= round(threshold, 3) AND is_building = 1) AS tp, count(*) FILTER (prob >= round(threshold, 3)) AS p, count(*) FILTER (is_building = 1) AS t FROM cand, {_GRID} GROUP BY ALL) SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(CASE WHEN p + t = 0 THEN 0.0 ELSE 2.0 * tp / (p + t) END), 6) AS f1 FROM k GROUP BY threshold")
+def q_threshold_sweep(cand: DataFrame) -> DataFrame:
+    return me.sweep(cand, "prob", "is_building", THRESHOLDS, ("quadrant",)).groupBy("threshold").agg(F.round(F.avg("f1"), 6).alias("f1"))
+
+
+@query("cand", sql=f"WITH k AS (SELECT round(threshold, 3) AS threshold, quadrant, count(*) FILTER (prob >= round(threshold, 3) AND is_building = 1) AS tp, count(*) FILTER (prob >= round(threshold, 3)) AS p, count(*) FILTER (is_building = 1) AS t FROM cand, {_GRID} GROUP BY ALL), m AS (SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(2.0 * tp / (p + t)), 6) AS f1 FROM k GROUP BY threshold) SELECT threshold, f1 FROM m ORDER BY f1 DESC, threshold LIMIT 1")
+def q_best_threshold(cand: DataFrame) -> DataFrame:
+    means = me.sweep(cand, "prob", "is_building", THRESHOLDS, ("quadrant",)).groupBy("threshold").agg(F.round(F.avg("f1"), 6).alias("f1"))
+    return means.agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("best")).select("best.threshold", "best.f1")
+
+
+@query("cand", sql="""WITH g AS (SELECT * FROM (VALUES (0.2), (0.4), (0.6), (0.8), (1.0)) r(ratio)), k AS (SELECT ratio, sum(CASE WHEN prob >= 0.5 AND NOT (line_ratio >= ratio AND area < 400) AND is_building = 1 THEN area ELSE 0 END) AS tp,
+ sum(CASE WHEN prob >= 0.5 AND NOT (line_ratio >= ratio AND area < 400) THEN area ELSE 0 END) AS p, sum(CASE WHEN is_building = 1 THEN area ELSE 0 END) AS t FROM cand, g GROUP BY ratio) SELECT CAST(ratio AS DOUBLE) AS ratio, round(CASE WHEN p + t = 0 THEN 0.0 ELSE 2.0 * tp / (p + t) END, 6) AS f1 FROM k""")
+def q_bridge_rule_sweep(cand: DataFrame) -> DataFrame:
+    each = cand.withColumn("ratio", F.explode(F.array(*[F.lit(r) for r in RATIOS])))
+    kept = (F.col("prob") >= 0.5) & ~((F.col("line_ratio") >= F.col("ratio")) & (F.col("area") < 400))
+    part = lambda c: F.sum(F.when(c, F.col("area")).otherwise(0.0))
+    true = F.col("is_building") == 1
+    k = each.groupBy("ratio").agg(part(kept & true).alias("tp"), part(kept).alias("p"), part(true).alias("t"))
+    return k.select("ratio", F.round(me.prf(F.col("tp"), F.col("p"), F.col("t"))[2], 6).alias("f1"))
+
+
+@query("cand", sql="SELECT label, prob >= 0.5 AND NOT (line_ratio >= 0.8 AND area < 400) AND area >= 30 AS keep, line_ratio >= 0.8 AND area < 400 AS bridge FROM cand")
+def q_final_keep(cand: DataFrame) -> DataFrame:
+    bridge = (F.col("line_ratio") >= 0.8) & (F.col("area") < 400)
+    return cand.select("label", ((F.col("prob") >= 0.5) & ~bridge & (F.col("area") >= 30)).alias("keep"), bridge.alias("bridge"))
+
+
+_BOOT = """t AS (SELECT tile_1km AS tile, CAST(sum(CASE WHEN prob >= 0.5 AND is_building = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS p, CAST(sum(is_building) AS BIGINT) AS t, CAST(sum(CASE WHEN prob >= 0.7 AND is_building = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp2, CAST(sum(CASE WHEN prob >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS p2 FROM cand GROUP BY tile_1km),
+ d AS (SELECT CAST(a.rep AS BIGINT) AS rep, CAST((a.rep * 7919 + b.pos * 104729 + a.rep * b.pos * 31) % 25 AS INT) AS tile FROM range(0, 200) a(rep), range(0, 25) b(pos)),
+ b AS (SELECT rep, 2.0 * sum(tp) / (sum(p) + sum(t)) AS f1, 2.0 * sum(tp2) / (sum(p2) + sum(t)) AS g1 FROM d JOIN t USING (tile) GROUP BY rep)"""
+
+
+def _boot(cand: DataFrame) -> DataFrame:
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    true = F.col("is_building") == 1
+    tiles = cand.groupBy(F.col("tile_1km").alias("tile")).agg(
+        n((F.col("prob") >= 0.5) & true).alias("tp"), n(F.col("prob") >= 0.5).alias("p"), n(true).alias("t"), n((F.col("prob") >= 0.7) & true).alias("tp2"), n(F.col("prob") >= 0.7).alias("p2")
+    )
+    draws = cand.sparkSession.range(REPS).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("pos"))
+    draws = draws.select("rep", ((F.col("rep") * 7919 + F.col("pos") * 104729 + F.col("rep") * F.col("pos") * 31) % 25).cast("int").alias("tile"))
+    b = me.resamples(tiles, "tile", draws, ("tp", "p", "t", "tp2", "p2"))
+    return b.select("rep", (2 * F.col("tp") / (F.col("p") + F.col("t"))).alias("f1"), (2 * F.col("tp2") / (F.col("p2") + F.col("t"))).alias("g1"))
+
+
+@query("cand", sql=f"WITH {_BOOT} SELECT round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high, count(*) AS reps FROM b")
+def q_bootstrap_ci(cand: DataFrame) -> DataFrame:
+    return _boot(cand).agg(*me.interval("f1"), F.count("*").alias("reps")).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "reps")
+
+
+@query("cand", sql=f"WITH {_BOOT} SELECT round(avg(f1 - g1), 6) AS diff, round(quantile_cont(f1 - g1, 0.025), 6) AS low, round(quantile_cont(f1 - g1, 0.975), 6) AS high, round(100 * avg(CASE WHEN f1 > g1 THEN 1.0 ELSE 0 END), 6) AS better FROM b")
+def q_paired_bootstrap(cand: DataFrame) -> DataFrame:
+    b = _boot(cand).withColumn("d", F.col("f1") - F.col("g1"))
+    out = b.agg(F.avg("d").alias("diff"), *me.interval("d"), (100 * F.avg((F.col("d") > 0).cast("double"))).alias("better"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("diff", "low", "high", "better")])
+
+
+@query("cand", sql="""WITH g AS (SELECT t / 10.0 AS threshold, CAST(a AS DOUBLE) AS least, CAST(l / 10.0 AS DOUBLE) AS ratio FROM range(3, 7) x(t), (VALUES (30), (60)) y(a), range(4, 20, 2) z(l)),
+ k AS (SELECT threshold, least, ratio, quadrant, sum(CASE WHEN prob >= threshold AND area >= least AND line_ratio < ratio AND is_building = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN prob >= threshold AND area >= least AND line_ratio < ratio THEN 1 ELSE 0 END) AS p, sum(is_building) AS t FROM cand, g GROUP BY ALL)
+ SELECT CAST(threshold AS DOUBLE) AS threshold, least, ratio, round(avg(CASE WHEN p + t = 0 THEN 0.0 ELSE 2.0 * tp / (p + t) END), 6) AS objective FROM k GROUP BY threshold, least, ratio""")
+def q_grid_search(cand: DataFrame) -> DataFrame:
+    spark = cand.sparkSession
+    grid = spark.createDataFrame([(t / 10, float(a), r / 10) for t in range(3, 7) for a in (30, 60) for r in range(4, 20, 2)], "threshold double, least double, ratio double")
+    kept = (F.col("prob") >= F.col("threshold")) & (F.col("area") >= F.col("least")) & (F.col("line_ratio") < F.col("ratio"))
+    true = F.col("is_building") == 1
+    # 64 parameter rows
+    k = cand.crossJoin(F.broadcast(grid)).groupBy("threshold", "least", "ratio", "quadrant").agg(F.count_if(kept & true).alias("tp"), F.count_if(kept).alias("p"), F.count_if(true).alias("t"))
+    return k.groupBy("threshold", "least", "ratio").agg(F.round(F.avg(me.prf(F.col("tp"), F.col("p"), F.col("t"))[2]), 6).alias("objective"))
+
+
+@query("cand", sql="SELECT tile_1km AS tile, CAST((row_number() OVER (ORDER BY n DESC, tile_1km) - 1) % 5 AS INT) AS fold, n FROM (SELECT tile_1km, count(*) AS n FROM cand GROUP BY tile_1km)")
+def q_group_kfold(cand: DataFrame) -> DataFrame:
+    return me.group_folds(cand, "tile_1km", 5).join(cand.groupBy("tile_1km").agg(F.count("*").alias("n")), "tile_1km").select(F.col("tile_1km").alias("tile"), "fold", "n")
+
+
+@query("cand", sql="SELECT label, row_number() OVER (ORDER BY prob DESC, label) AS place FROM cand ORDER BY prob DESC, label LIMIT 10")
+def q_top10(cand: DataFrame) -> DataFrame:
+    top = cand.orderBy(F.col("prob").desc(), "label").limit(10)
+    return top.select("label", F.row_number().over(Window.orderBy(F.col("prob").desc(), "label")).cast("long").alias("place"))
+
+
+@query("cand", sql="SELECT quadrant, round(corr(area, prob), 6) AS corr, count(DISTINCT tile_1km) AS tiles, round(sum(area * is_building) / sum(area), 6) AS share FROM cand GROUP BY quadrant")
+def q_group_summary(cand: DataFrame) -> DataFrame:
+    return cand.groupBy("quadrant").agg(F.round(F.corr("area", "prob"), 6).alias("corr"), F.countDistinct("tile_1km").alias("tiles"), F.round(F.sum(F.col("area") * F.col("is_building")) / F.sum("area"), 6).alias("share"))
+
+
+@query("cand", sql="SELECT quadrant, to_json({'quadrant': quadrant, 'n': count(*), 'best': max(prob)}) AS settings FROM cand GROUP BY quadrant")
+def q_settings_json(cand: DataFrame) -> DataFrame:
+    k = cand.groupBy("quadrant").agg(F.count("*").alias("n"), F.max("prob").alias("best"))
+    return k.select("quadrant", F.to_json(F.struct("quadrant", "n", "best")).alias("settings"))
+
+
+@query("cand", sql="SELECT label, quadrant, tile_1km FROM cand WHERE quadrant IN ('sw', 'ne') AND is_building = 1 UNION ALL SELECT label, 'all', tile_1km FROM cand WHERE area < 100")
+def q_union_all(cand: DataFrame) -> DataFrame:
+    one = cand.where(F.col("quadrant").isin("sw", "ne") & (F.col("is_building") == 1)).select("label", "quadrant", "tile_1km")
+    return one.unionByName(cand.where("area < 100").select("label", F.lit("all").alias("quadrant"), "tile_1km"))
