@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,9 +148,11 @@ def text_encoder(tokenizer: str) -> ChunkEncoder:
         library.encode_special_tokens = True
 
         def encode(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _TEXT[tokenizer] = ChunkEncoder(f"[{_W}]*[^{_W}]+|[{_W}]+", encode)
+        # a letter run before a space or ASCII mark (but the apostrophe) is a pre-token of its own
+        letters = f" ?[a-zA-ZÀ-ÖØ-öø-ɏ]+(?=[ !-&(-/:-@\\[-`{{-~\n]|\\Z)"
+        _TEXT[tokenizer] = ChunkEncoder(f"{letters}|[{_W}]*[^{_W}]+|[{_W}]+", encode)
     return _TEXT[tokenizer]
 
 

@@ -20,7 +20,7 @@ LONGEST = 64
 class ChunkEncoder:
     """``pattern`` splits a text into chunks; ``encode`` gives the code bytes of a list of distinct chunks."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 350_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], limit: int = 700_000):
         self._split = re.compile(pattern).findall
         self._encode, self._limit = encode, limit
         self._young: dict[str, bytes] = {}
