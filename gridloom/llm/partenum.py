@@ -10,9 +10,9 @@ set's elements in one such choice of parts: all links are among equal signatures
 Steps: (1) one pass gives every document its set's digest and signatures, copies that a task
 has seen already without signatures; (2) sets that share a signature are kept, and of
 signatures with the same members only one; (3) only documents that represent such a set are
-read again, and the members of a signature, in blocks of bounded bytes, are compared by
-exact counts in one task for each pair of blocks, which returns a spanning forest of the
-links; (4) components over representatives; (5) every document takes its set's component.
+read again, and a small cluster of them, or the members of one signature of a large one, in
+blocks of bounded bytes, are compared by exact counts in one task for each pair of blocks,
+which returns a spanning forest of the links; (4) components over representatives; (5) every document takes its set's component.
 
 Exact and whole: no bucket is capped; large ones are split into pairs of blocks. Pairs within
 a group of copies are never formed.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.scratch import spread, without, written
+from gridloom.llm.scratch import BROADCAST_IDS, beside, discard, spread, without, written
 from gridloom.llm.words import hashed_texts, mix64, shingles
 
 SEEN = 1 << 17
@@ -124,22 +124,46 @@ def signed(documents: DataFrame, join: Join) -> DataFrame:
     return spread(own).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>")
 
 
-def shared_signatures(table: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, rep, n): the members of every signature that two sets share, one signature for each set of members."""
-    rows = table.where(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "k1")
+def shared_signatures(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, k1, k2, rep, n, c, most): the members of every signature that two sets share, one signature for each set of members."""
+    rows = sigs.where(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "k1")
     every = Window.partitionBy("sig")
     shared = rows.withColumn("a", F.min("k1").over(every)).withColumn("b", F.max("k1").over(every)).where("a < b").select("sig", "k1").distinct()
     shared = written(shared, "shared")
+    discard(sigs)
     members = shared.join(classes, "k1").select("sig", "k1", "k2", "rep", "n")
     groups = members.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("k1", "k2").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("k1", "k2", F.lit(1))).alias("y"), F.max("n").alias("n"))
     first = groups.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.max("n").alias("most"))
     return written(members.join(first.select("sig", "c", "most"), "sig"), "members")
 
 
+def gathered(members: DataFrame) -> DataFrame:
+    """(kind, grp, k1, k2, rep, c, most): which sets are compared together.
+
+    Sets that share signatures, directly or through others, form a cluster. A cluster that fits
+    one block is compared as a whole, so its sets are read once; the members of larger
+    clusters are compared signature by signature.
+    """
+    leader = members.groupBy("sig").agg(F.min("rep").alias("u"))
+    clusters = written(components(members.join(leader, "sig").select("u", F.col("rep").alias("v"))), "clusters")
+    # representatives of one doc_id share a node, so a cluster may be one node
+    named = members.join(clusters, F.col("rep") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "rep"))
+    distinct = named.select("cluster", "k1", "k2", "rep", "n").distinct()
+    sizes = distinct.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
+    small = written(sizes.where((F.col("size") <= BLOCK_ROWS) & (F.col("items") * 8 <= BLOCK_BYTES)), "small")
+    whole = distinct.join(small, "cluster").select(F.lit(0).alias("kind"), F.col("cluster").alias("grp"), "k1", "k2", "rep", F.col("size").alias("c"), F.lit(1).cast("long").alias("most"))
+    parts = named.join(small, "cluster", "left_anti").select(F.lit(1).alias("kind"), F.col("sig").alias("grp"), "k1", "k2", "rep", "c", "most")
+    return written(whole.unionByName(parts), "gathered")
+
+
 def sets_of(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """(rep, k1, k2, items): the wanted documents' shingle sets, as bytes; of rows with one doc_id, those of the wanted set."""
+    """(rep, k1, k2, items): the wanted documents' shingle sets, as bytes; of rows with one doc_id, those of the wanted set.
+
+    A task gives a set once; other tasks may repeat it if the documents' rows do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int, int]] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -147,14 +171,18 @@ def sets_of(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
                 rows = []
                 for i, words in hashed_texts(batch.column(1)):
                     items = shingles(words, join.n)
-                    if len(items) and _digest(items) == (k1[i], k2[i]):
-                        rows.append((reps[i], k1[i], k2[i], items.tobytes()))
+                    key = (reps[i], k1[i], k2[i])
+                    if len(items) and key not in given and _digest(items) == key[1:]:
+                        rows.append((*key, items.tobytes()))
+                        if len(given) >= SEEN:
+                            given.clear()
+                        given.add(key)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["rep", "k1", "k2", "items"])
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = own.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2")
-    return read.mapInArrow(run, "rep long, k1 long, k2 long, items binary").dropDuplicates(["rep", "k1", "k2"])
+    read = own.join(beside(wanted, wanted.count(), BROADCAST_IDS), F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2")
+    return read.mapInArrow(run, "rep long, k1 long, k2 long, items binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,29 +246,32 @@ def linked(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, join: Jo
     return forest
 
 
-def links(documents: DataFrame, members: DataFrame, join: Join) -> DataFrame:
+def links(documents: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
     """(u, v): links between representatives that connect all that are linked."""
     rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_BYTES) / (F.col("most") * 8)))).cast("int")
-    blocks = F.ceil(F.col("c") / rows).cast("int")
-    placed = members.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("c") / rows).cast("int"), F.lit(1))
+    placed = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = placed.select("sig", "rep", "k1", "k2", "own", other).select("sig", "rep", "k1", "k2", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    sets = written(sets_of(documents, members.select("rep", "k1", "k2").distinct(), join), "sets")
-    loaded = pairs.join(sets, ["rep", "k1", "k2"])
+    pairs = placed.select("kind", "grp", "rep", "k1", "k2", "own", other)
+    pairs = written(pairs.select("kind", "grp", "rep", "k1", "k2", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")), "pairs")
+    wanted = written(groups.select("rep", "k1", "k2").distinct(), "wanted")
+    loaded = sets_of(documents, wanted, join).join(beside(pairs, pairs.count(), BROADCAST_IDS), ["rep", "k1", "k2"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = linked(group["rep"].to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in group["items"]], group["side"].to_numpy(), join)
+        own = group.drop_duplicates(["rep", "k1", "k2"])
+        found = linked(own["rep"].to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in own["items"]], own["side"].to_numpy(), join)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return loaded.groupBy("sig", "x", "y").applyInPandas(run, "u long, v long").distinct()
+    return loaded.groupBy("kind", "grp", "x", "y").applyInPandas(run, "u long, v long").distinct()
 
 
 def jaccard_classes(documents: DataFrame, join: Join) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set), component_id."""
-    table = written(signed(documents, join), "signed")
+    sigs = written(signed(documents, join), "signed")
+    table = written(sigs.drop("sigs"), "digests")
     classes = written(table.where("n_shingles > 0").groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
-    members = shared_signatures(table, classes.where("rep is not null").select("k1", "k2", "rep", "n"))
-    found = components(links(documents, members, join))
+    members = shared_signatures(sigs, classes.where("rep is not null").select("k1", "k2", "rep", "n"))
+    found = components(links(documents, gathered(members), join))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", "rep", F.coalesce("component", "rep").alias("component"))
     t, c = table.alias("t"), written(named, "named").alias("c")
     full = t.join(c, (F.col("t.k1") == F.col("c.k1")) & (F.col("t.k2") == F.col("c.k2")) & (F.col("t.n_shingles") == F.col("c.n")), "left")
@@ -266,7 +297,7 @@ def one_of_each(documents: DataFrame, join: Join) -> DataFrame:
     return out.unionByName(first.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn"))
 
 
-OP2 = Join(n=3, num=90, den=100, n2=3, k2=1)
+OP2 = Join(n=3, num=90, den=100)
 
 #: Whole tables are too large for all pairs in SQL; this oracle is for the small ones.
 ORACLE = """

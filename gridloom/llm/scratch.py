@@ -26,6 +26,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing will read again."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def beside(table: DataFrame, rows: int, most: int) -> DataFrame:
+    """``table`` as the small side of a join: broadcast when its counted rows stay within ``most``."""
+    return F.broadcast(table) if rows <= most else table
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt evenly to all cores when its files alone would give fewer tasks than cores.
 
