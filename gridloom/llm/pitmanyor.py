@@ -28,7 +28,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
@@ -165,26 +164,40 @@ def chunked(documents: DataFrame) -> DataFrame:
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (word, context) pairs of each chunk with their training counts."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    now, size = None, 0
+    merged: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    now, size, kept = None, 0, 0
 
-    def flush() -> pa.RecordBatch:
-        dishes, contexts, train = (np.concatenate([h[i] for h in held]) for i in range(3))
+    def distinct(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dishes, contexts, train = (np.concatenate([h[i] for h in parts]) for i in range(3))
+        parts.clear()
         _, first, place = np.unique(pair_keys(dishes, contexts), return_index=True, return_inverse=True)
-        counts = np.bincount(place, weights=train, minlength=len(first)).astype(np.int64)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(dishes[first].view(np.int64)), pa.array(np.full(len(first), now, dtype=np.int64)), pa.array((contexts[first] << _SHIFT) + counts)], ["w", "chunk", "v"])
+        return dishes[first], contexts[first], np.bincount(place, weights=train, minlength=len(first)).astype(np.int64)
+
+    def merge() -> None:
+        nonlocal kept, size
+        merged.append(distinct(held))
+        kept, size = kept + len(merged[-1][0]), 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal kept
+        if held:
+            merge()
+        dishes, contexts, counts = distinct(merged)
+        kept = 0
+        return pa.RecordBatch.from_arrays([pa.array(dishes.view(np.int64)), pa.array(np.full(len(dishes), now, dtype=np.int64)), pa.array((contexts.astype(np.int64) << _SHIFT) + counts)], ["w", "chunk", "v"])
 
     for batch in batches:
         chunks, train = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
         for i, words in hashed_texts(batch.column(2)):
-            if held and (chunks[i] != now or size > 4_000_000):
+            if (held or merged) and (chunks[i] != now or kept > 2_500_000):
                 yield flush()
-                size = 0
             now = int(chunks[i])
             dishes, contexts = tokens(words)
-            held.append((dishes, contexts, np.full(len(dishes), float(train[i]))))
+            held.append((dishes, contexts.astype(np.int8), np.full(len(dishes), train[i], dtype=np.int8)))
             size += len(dishes)
-    if held:
+            if size > 1_000_000:
+                merge()
+    if held or merged:
         yield flush()
 
 
@@ -288,32 +301,41 @@ def _answers(blocks: DataFrame, totals: Totals, samples: int) -> DataFrame:
                 rows, begin = [], 0
                 for end in ends.tolist():
                     part = order[begin:end]
-                    rows.append((int(chunk[part[0]]), keys[part].tobytes(), counts[part].tobytes(), scores[part].tobytes()))
+                    rows.append((int(chunk[part[0]]), keys[part].tobytes(), counts[part].tobytes(), scores[part].astype(np.float32).tobytes()))
                     begin = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["chunk", "keys", "counts", "scores"])
 
     return blocks.select("seed", "n_words", "words", "contexts", "counts", "word_of", "req_chunk", "req_context", "req_word").mapInArrow(run, "chunk long, keys binary, counts binary, scores binary")
 
 
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """All bytes of a binary column, one after the other, without copies of single values."""
+    parts = []
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], dtype=np.int32 if pa.types.is_binary(chunk.type) else np.int64)
+        first, last = int(offsets[chunk.offset]), int(offsets[chunk.offset + len(chunk)])
+        parts.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[first:last])
+    return np.concatenate(parts)
+
+
 def _dictionaries(answers: DataFrame, folder: str) -> DataFrame:
     """Writes one dictionary file for each chunk: pair keys in order, counts, scores."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in group["keys"]])
-        counts = np.concatenate([np.frombuffer(k, dtype=np.int64) for k in group["counts"]])
-        scores = np.concatenate([np.frombuffer(k, dtype=np.float64) for k in group["scores"]])
-        keys, first = np.unique(keys, return_index=True)
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        keys, first = np.unique(_bytes(group.column("keys")).view(np.uint64), return_index=True)
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        name = f"{base}/{int(key[0]) & (1 << 64) - 1:016x}"
+        name = f"{base}/{key[0].as_py() & (1 << 64) - 1:016x}"
         own = f"{name}.{np.random.default_rng().integers(1 << 62):x}"
         with system.open_output_stream(own) as out:
-            for part in (np.array([len(keys)], dtype=np.int64), keys, counts[first], scores[first].astype(np.float32)):
-                out.write(part.tobytes())
+            out.write(np.array([len(keys)], dtype=np.int64).tobytes())
+            out.write(keys)
+            out.write(_bytes(group.column("counts")).view(np.int64)[first])
+            out.write(_bytes(group.column("scores")).view(np.float32)[first])
         system.move(own, name)  # the same content, whichever attempt comes last
-        return pd.DataFrame({"chunk": [int(key[0])], "pairs": [len(keys)]})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "pairs": pa.array([len(keys)], pa.int64())})
 
-    return written(answers.groupBy("chunk").applyInPandas(run, "chunk long, pairs long"), "lm-dictionaries")
+    return written(answers.groupBy("chunk").applyInArrow(run, "chunk long, pairs long"), "lm-dictionaries")
 
 
 class _Dictionary:
