@@ -9,10 +9,11 @@ set's elements in one such choice of parts: all links are among equal signatures
 
 Steps: (1) one pass gives every document its set's digest and signatures, copies that a task
 has seen already without signatures; (2) sets that share a signature are kept, and of
-signatures with the same members only one; (3) only documents that represent such a set are
-read again, and a small cluster of them, or the members of one signature of a large one, in
-blocks of bounded bytes, are compared by exact counts in one task for each pair of blocks,
-which returns a spanning forest of the links; (4) components over representatives; (5) every document takes its set's component.
+signatures with the same members only one; (3) bucket counts of a set bound its
+intersections from above and rule out most of the false pairs within a signature, and the
+pairs left connect sets to clusters; only documents that represent such a set are read
+again, and a cluster, in blocks of bounded bytes, is compared by exact counts in one task
+for each pair of blocks, which returns a spanning forest of the links; (4) components over representatives; (5) every document takes its set's component.
 
 Exact and whole: no bucket is capped; large ones are split into pairs of blocks. Pairs within
 a group of copies are never formed.
@@ -42,6 +43,8 @@ from gridloom.llm.words import hashed_texts, mix64, shingles
 
 SEEN = 1 << 17
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+#: Sketches (about n / 8 bytes each) up to which they are sent to every task.
+BROADCAST_SKETCHES = 300_000
 
 
 @dataclass(frozen=True)
@@ -90,13 +93,57 @@ class Join:
         return np.concatenate(out)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """Counts of a set's elements in about n / 8 hash buckets (a power of two), a byte each; empty if a count doesn't fit.
+
+    The sum of the lesser counts of two sets is never below the size of their intersection.
+    """
+    width = 1 << max(4, (len(items) // 8).bit_length())
+    counts = np.bincount((mix64(items ^ np.uint64(0x5BD1E995)) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(sizes: np.ndarray, sketches: list[bytes], sides: np.ndarray, reps: np.ndarray, join: Join) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches don't rule out a link."""
+    parent = list(range(len(sizes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    forest: list[tuple[int, int]] = []
+
+    def joined(x: int, y: int) -> None:
+        p, q = root(x), root(y)
+        if p != q:
+            parent[p] = q
+            forest.append((int(reps[x]), int(reps[y])))
+
+    width = min((len(k) for k in sketches if k), default=1)
+    folded = np.array([np.frombuffer(k, dtype=np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) if k else np.zeros(width, dtype=np.int32) for k in sketches])
+    whole = np.array([not k for k in sketches])
+    first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    between = len(second) > 0
+    for at, x in enumerate(first.tolist()):
+        others = second if between else first[at + 1 :]
+        if not len(others):
+            continue
+        most = np.minimum(folded[others], folded[x]).sum(axis=1)
+        most = np.where(whole[others] | whole[x], np.minimum(sizes[others], sizes[x]), most)
+        for y in others[join.den * most >= join.num * (sizes[others] + sizes[x] - most)].tolist():
+            joined(x, y)
+    return forest
+
+
 def _digest(items: np.ndarray) -> tuple[int, int]:
     low = np.sum(mix64(items ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)
     return int(mix64(np.array([low ^ np.uint64(len(items))]))[0].astype(np.int64)), int(np.sum(mix64(items + np.uint64(0x1234567)), dtype=np.uint64).astype(np.int64))
 
 
 def signed(documents: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (the set's digest) and sigs, null where the task has seen the set before."""
+    """doc_id, n_shingles, k1, k2 (the set's digest), sigs and sketch; these two null where the task has seen the set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -107,21 +154,21 @@ def signed(documents: DataFrame, join: Join) -> DataFrame:
                 for _, words in hashed_texts(batch.column(1)):
                     items = shingles(words, join.n)
                     if not len(items):
-                        rows.append((0, None, None, None))
+                        rows.append((0, None, None, None, None))
                         continue
                     key = _digest(items)
-                    rows.append((len(items), *key, None if key in seen else join.signatures(items).view(np.int64)))
+                    rows.append((len(items), *key, None, None) if key in seen else (len(items), *key, join.signatures(items).view(np.int64), sketch(items)))
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-                n, k1, k2, sigs = zip(*rows, strict=True)
+                n, k1, k2, sigs, sketches = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "k1", "k2", "sigs"],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    ["doc_id", "n_shingles", "k1", "k2", "sigs", "sketch"],
                 )
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return spread(own).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>")
+    return spread(own).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>, sketch binary")
 
 
 def shared_signatures(sigs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -137,23 +184,39 @@ def shared_signatures(sigs: DataFrame, classes: DataFrame) -> DataFrame:
     return written(members.join(first.select("sig", "c", "most"), "sig"), "members")
 
 
-def gathered(members: DataFrame) -> DataFrame:
-    """(kind, grp, k1, k2, rep, c, most): which sets are compared together.
+def _blocks(rows: DataFrame, item_bytes: float) -> DataFrame:
+    """Deals members (grp, rep, k1, k2, c, most) to pairs of blocks x <= y of their group; ``side`` tells the block."""
+    most = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_BYTES) / (F.col("most") * item_bytes)))).cast("int")
+    placed = rows.withColumn("blocks", F.greatest(F.ceil(F.col("c") / most).cast("int"), F.lit(1))).withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
+    pairs = placed.select("grp", "rep", "k1", "k2", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return pairs.select("grp", "rep", "k1", "k2", "n", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
 
-    Sets that share signatures, directly or through others, form a cluster. A cluster that fits
-    one block is compared as a whole, so its sets are read once; the members of larger
-    clusters are compared signature by signature.
+
+def gathered(members: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    """(grp, k1, k2, rep, n, c, most): sets that are compared together.
+
+    Within a signature, pairs that their sketches rule out are dropped; what is left connects
+    sets to clusters, and the sets of a cluster are compared with each other.
     """
-    leader = members.groupBy("sig").agg(F.min("rep").alias("u"))
-    clusters = written(components(members.join(leader, "sig").select("u", F.col("rep").alias("v"))), "clusters")
-    # representatives of one doc_id share a node, so a cluster may be one node
-    named = members.join(clusters, F.col("rep") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "rep"))
-    distinct = named.select("cluster", "k1", "k2", "rep", "n").distinct()
-    sizes = distinct.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
-    small = written(sizes.where((F.col("size") <= BLOCK_ROWS) & (F.col("items") * 8 <= BLOCK_BYTES)), "small")
-    whole = distinct.join(small, "cluster").select(F.lit(0).alias("kind"), F.col("cluster").alias("grp"), "k1", "k2", "rep", F.col("size").alias("c"), F.lit(1).cast("long").alias("most"))
-    parts = named.join(small, "cluster", "left_anti").select(F.lit(1).alias("kind"), F.col("sig").alias("grp"), "k1", "k2", "rep", "c", "most")
-    return written(whole.unionByName(parts), "gathered")
+    pairs = _blocks(members.withColumnRenamed("sig", "grp"), 1.0)
+    rows = sketches.count()
+    loaded = pairs.join(beside(sketches, rows, BROADCAST_SKETCHES), ["k1", "k2"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.drop_duplicates(["rep", "k1", "k2"])
+        found = may_link(own["n"].to_numpy(), list(own["sketch"]), own["side"].to_numpy(), own["rep"].to_numpy(), join)
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    open_ = loaded.select("grp", "x", "y", "rep", "k1", "k2", "n", "side", "sketch").groupBy("grp", "x", "y").applyInPandas(run, "u long, v long").distinct()
+    open_ = written(open_, "open")
+    # sets of one doc_id share a node: keep it if it has an open pair with itself
+    touched = open_.select(F.explode(F.array("u", "v")).alias("touched")).distinct()
+    clusters = written(components(open_), "clusters")
+    distinct = members.select("k1", "k2", "rep", "n").distinct().join(touched, F.col("rep") == F.col("touched"), "left_semi")
+    named = distinct.join(clusters, F.col("rep") == F.col("node"), "left").select(F.coalesce("component", "rep").alias("grp"), "k1", "k2", "rep", "n")
+    named = written(named, "clustered")
+    sizes = named.groupBy("grp").agg(F.count("*").alias("c"), F.max("n").alias("most"))
+    return written(named.join(sizes, "grp"), "gathered")
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -248,12 +311,7 @@ def linked(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, join: Jo
 
 def links(documents: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
     """(u, v): links between representatives that connect all that are linked."""
-    rows = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_BYTES) / (F.col("most") * 8)))).cast("int")
-    blocks = F.greatest(F.ceil(F.col("c") / rows).cast("int"), F.lit(1))
-    placed = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = placed.select("kind", "grp", "rep", "k1", "k2", "own", other)
-    pairs = written(pairs.select("kind", "grp", "rep", "k1", "k2", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")), "pairs")
+    pairs = written(_blocks(groups, 8.0).drop("n"), "pairs")
     wanted = written(groups.select("rep", "k1", "k2").distinct(), "wanted")
     loaded = sets_of(documents, wanted, join).join(beside(pairs, pairs.count(), BROADCAST_IDS), ["rep", "k1", "k2"])
 
@@ -262,16 +320,17 @@ def links(documents: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
         found = linked(own["rep"].to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in own["items"]], own["side"].to_numpy(), join)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return loaded.groupBy("kind", "grp", "x", "y").applyInPandas(run, "u long, v long").distinct()
+    return loaded.groupBy("grp", "x", "y").applyInPandas(run, "u long, v long").distinct()
 
 
 def jaccard_classes(documents: DataFrame, join: Join) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set), component_id."""
     sigs = written(signed(documents, join), "signed")
-    table = written(sigs.drop("sigs"), "digests")
+    table = written(sigs.drop("sigs", "sketch"), "digests")
+    sketches = written(sigs.where(F.col("sigs").isNotNull()).select("k1", "k2", "sketch"), "sketches")
     classes = written(table.where("n_shingles > 0").groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
     members = shared_signatures(sigs, classes.where("rep is not null").select("k1", "k2", "rep", "n"))
-    found = components(links(documents, gathered(members), join))
+    found = components(links(documents, gathered(members, sketches, join), join))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", "rep", F.coalesce("component", "rep").alias("component"))
     t, c = table.alias("t"), written(named, "named").alias("c")
     full = t.join(c, (F.col("t.k1") == F.col("c.k1")) & (F.col("t.k2") == F.col("c.k2")) & (F.col("t.n_shingles") == F.col("c.n")), "left")
