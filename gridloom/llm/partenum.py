@@ -121,6 +121,11 @@ def may_link(sizes: np.ndarray, sketches: list[bytes], sides: np.ndarray, reps:
             parent[p] = q
             forest.append((int(reps[x]), int(reps[y])))
 
+    if len(sizes) == 2 and all(sketches) and len(sketches[0]) == len(sketches[1]) and sides[0] <= sides[1]:
+        a, b = (np.frombuffer(k, dtype=np.uint8) for k in sketches)
+        most = int(np.minimum(a, b).sum())
+        linked_ = join.den * most >= join.num * (int(sizes[0]) + int(sizes[1]) - most)
+        return [(int(reps[0]), int(reps[1]))] if linked_ else []
     width = min((len(k) for k in sketches if k), default=1)
     folded = np.array([np.frombuffer(k, dtype=np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) if k else np.zeros(width, dtype=np.int32) for k in sketches])
     whole = np.array([not k for k in sketches])
@@ -202,12 +207,34 @@ def gathered(members: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
     rows = sketches.count()
     loaded = pairs.join(beside(sketches, rows, BROADCAST_SKETCHES), ["k1", "k2"])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.drop_duplicates(["rep", "k1", "k2"])
-        found = may_link(own["n"].to_numpy(), list(own["sketch"]), own["side"].to_numpy(), own["rep"].to_numpy(), join)
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-
-    open_ = loaded.select("grp", "x", "y", "rep", "k1", "k2", "n", "side", "sketch").groupBy("grp", "x", "y").applyInPandas(run, "u long, v long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, out = None, {}, []
+
+        def close() -> None:
+            if len(members) > 1:
+                keys = list(members)
+                n, side, sketches = zip(*members.values(), strict=True)
+                out.extend(may_link(np.array(n), list(sketches), np.array(side), np.array([k[0] for k in keys]), join))
+            members.clear()
+
+        for batch in batches:
+            for grp, x, y, rep, k1, k2, n, side, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, x, y) != now:
+                    close()
+                    now = (grp, x, y)
+                members[rep, k1, k2] = (n, side, data)
+            if out:
+                u, v = zip(*out, strict=True)
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        close()
+        if out:
+            u, v = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    # most groups are two sets, so they are read from sorted rows and not handed over one by one
+    ordered = loaded.select("grp", "x", "y", "rep", "k1", "k2", "n", "side", "sketch").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    open_ = ordered.mapInArrow(run, "u long, v long").distinct()
     open_ = written(open_, "open")
     # sets of one doc_id share a node: keep it if it has an open pair with itself
     touched = open_.select(F.explode(F.array("u", "v")).alias("touched")).distinct()
