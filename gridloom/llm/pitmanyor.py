@@ -1,20 +1,20 @@
 """Language-model scoring by a hierarchical Pitman-Yor model (operator 3).
 
-Words are dishes. A word's context restaurant is the class of the word before it (``CONTEXTS``
-hash classes and one for the beginning); all context restaurants share one parent, whose
-parent is uniform over the training words and one slot for all unknown ones. Seating is
-sampled by Gibbs: for every (context, word) the number of tables is redrawn from its
-conditional distribution given everything else (exactly, with generalised Stirling numbers,
-up to ``EXACT`` customers; in blocks of a tenth of the seated customers beyond), then the
-parent's. Discounts come from counts of counts. Predictive probabilities are averaged over
-the last ``SAMPLES`` sweeps.
-
-Layout: counts are dealt by word, so a word's state in all restaurants is in one block, and a
-sweep needs only the totals of each restaurant, a few dozen sums. Blocks are written once; a
-sweep repeats earlier ones from their recorded totals and seeds, so no state is kept and a
-lost executor loses nothing. Texts are never shuffled: a chunk of ``CHUNK_ROWS`` documents asks for
-its distinct (context, word) pairs, gets their counts and probabilities in a dictionary file
-in the shared folder, and is read again to add them up.
+Words are dishes. A word's context restaurant is the word before it (or the beginning); all
+context restaurants share one parent, whose parent is uniform over the training words and one
+slot for all unknown ones. Seating is sampled by Gibbs: for every (context, word) the number of
+tables is redrawn from its conditional distribution given everything else (exactly, with
+generalised Stirling numbers, up to ``EXACT`` customers; in blocks of a tenth of the seated
+customers beyond), then the parent's. Discounts come from counts of counts. Predictive
+probabilities are averaged over the last ``SAMPLES`` sweeps.
+
+Layout: a chunk of ``CHUNK_ROWS`` documents asks for its distinct (context, word) pairs and words;
+counts are dealt by pair, so no word or context has all of its pairs in one task. A pair of one
+customer has one table, so a sweep moves only pairs of two customers and more, each joined with
+its context's tables and its word's probability in the parent; every sweep's tables are
+written. Texts are never shuffled: a chunk's dictionary file in the shared folder holds what it
+asked for, and the chunk is read again to add it up. Pairs of one customer are most of all; a
+pair that the dictionary lacks is one of them.
 
 Defined results: null and blank texts are one end token; a null doc_id counts as an empty id;
 equal rows get equal scores; without training documents all words are unknown, N is 0 and
@@ -26,39 +26,37 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import scratch_dir, spread, written
-from gridloom.llm.words import hashed_texts, mix64
+from gridloom.llm.scratch import discard, scratch_dir, spread, written
+from gridloom.llm.words import hashed_texts
 
-CONTEXTS = 32
-BEGIN = CONTEXTS
+#: The context that words are asked for under; no word's hash.
+NO_CONTEXT = np.uint64(0)
 END = np.uint64(1)
+BEGIN = np.uint64(2)
 STRENGTH = 1.0
 EXACT = 64
 SWEEPS, SAMPLES = 4, 2
 CHUNK_ROWS = 16_384
-BLOCK_ROWS = 400_000
-_SHIFT = 40
+BATCH_ROWS = 200_000
 
 
 def tokens(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's dishes (words, then the end) and their contexts."""
-    dishes = np.append(words, END)
-    contexts = np.empty(len(dishes), dtype=np.int64)
-    contexts[0] = BEGIN
-    contexts[1:] = (words >> np.uint64(59)).astype(np.int64) % CONTEXTS
-    return dishes, contexts
+    """A text's dishes (words, then the end) and the words before them."""
+    return np.append(words, END), np.concatenate([[BEGIN], words])
 
 
 def pair_keys(dishes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return mix64(dishes * np.uint64(0x9E3779B97F4A7C15) + contexts.astype(np.uint64))
+    """Both are hashes already; a word under NO_CONTEXT is its own key."""
+    return dishes ^ (contexts << np.uint64(1) | contexts >> np.uint64(63))
 
 
 def log_stirling(most: int, d: float) -> np.ndarray:
@@ -102,7 +100,7 @@ def draw_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, d: float, r
 
 
 class Totals:
-    """Sums over all blocks: what the restaurants need to know of each other."""
+    """Sums over all pairs: what the restaurants need to know of each other."""
 
     def __init__(self, customers: np.ndarray, types: np.ndarray, words: int, ones: tuple[int, int], twos: tuple[int, int]):
         self.customers, self.types, self.words = customers.astype(np.float64), types.astype(np.float64), words
@@ -113,7 +111,7 @@ class Totals:
 
 
 class Block:
-    """Pairs with training customers, sorted by word, and the words they belong to."""
+    """The sampler over pairs in memory, sorted by word; ``fit`` runs the same sweeps over tables."""
 
     def __init__(self, contexts: np.ndarray, counts: np.ndarray, word_of: np.ndarray, n_words: int, seed: int):
         self.contexts, self.counts, self.word_of, self.n_words, self.seed = contexts, counts, word_of, n_words, seed
@@ -143,12 +141,6 @@ def root_probability(customers: np.ndarray, tables: np.ndarray, all_customers: f
     return (customers - d * tables + (STRENGTH + d * all_tables) / (totals.words + 1)) / (STRENGTH + all_customers)
 
 
-def _arrays(row: dict) -> Block:
-    counts = np.frombuffer(row["counts"], dtype=np.int64)
-    contexts = np.frombuffer(row["contexts"], dtype=np.uint8).astype(np.int64)
-    return Block(contexts, counts, np.frombuffer(row["word_of"], dtype=np.int32).astype(np.int64), row["n_words"], row["seed"])
-
-
 def chunked(documents: DataFrame) -> DataFrame:
     """(chunk, doc_id, train, text): a chunk is a run of rows of one file; a table that isn't read from files is written first."""
     try:
@@ -162,7 +154,7 @@ def chunked(documents: DataFrame) -> DataFrame:
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, context) pairs of each chunk with their training counts."""
+    """Distinct (context, word) pairs of each chunk, and its words under NO_CONTEXT, with their training counts."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     merged: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     now, size, kept = None, 0, 0
@@ -178,191 +170,203 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged.append(distinct(held))
         kept, size = kept + len(merged[-1][0]), 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Iterator[pa.RecordBatch]:
         nonlocal kept
         if held:
             merge()
         dishes, contexts, counts = distinct(merged)
         kept = 0
-        return pa.RecordBatch.from_arrays([pa.array(dishes.view(np.int64)), pa.array(np.full(len(dishes), now, dtype=np.int64)), pa.array((contexts.astype(np.int64) << _SHIFT) + counts)], ["w", "chunk", "v"])
+        words, place = np.unique(dishes, return_inverse=True)
+        of_word = np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64)
+        texts = counts[contexts == BEGIN].sum()
+        order = np.argsort(contexts)
+        u = np.concatenate([np.full(len(words) + 1, NO_CONTEXT), contexts[order]])
+        w = np.concatenate([words, [BEGIN], dishes[order]])
+        n = np.concatenate([of_word, [texts], counts[order]])
+        for at in range(0, len(u), BATCH_ROWS):
+            part = slice(at, at + BATCH_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(u[part].view(np.int64)), pa.array(w[part].view(np.int64)), pa.array(np.full(len(u[part]), now, dtype=np.int64)), pa.array(n[part])], ["u", "w", "chunk", "n"])
 
     for batch in batches:
         chunks, train = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
         for i, words in hashed_texts(batch.column(2)):
             if (held or merged) and (chunks[i] != now or kept > 2_500_000):
-                yield flush()
+                yield from flush()
             now = int(chunks[i])
             dishes, contexts = tokens(words)
-            held.append((dishes, contexts.astype(np.int8), np.full(len(dishes), train[i], dtype=np.int8)))
+            held.append((dishes, contexts, np.full(len(dishes), train[i], dtype=np.int8)))
             size += len(dishes)
             if size > 1_000_000:
                 merge()
     if held or merged:
-        yield flush()
-
-
-_BLOCK_SCHEMA = "seed long, n_words int, words binary, contexts binary, counts binary, word_of binary, req_chunk binary, req_context binary, req_word binary, stats array<long>"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word to blocks of whole words."""
-    from pyspark import TaskContext
-
-    part, number = TaskContext.get().partitionId(), 0
-
-    def make(w: np.ndarray, chunk: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        nonlocal number
-        contexts, counts = v >> _SHIFT, v & ((1 << _SHIFT) - 1)
-        words, word_of = np.unique(w, return_inverse=True)
-        pair, place = np.unique(word_of * (CONTEXTS + 1) + contexts, return_inverse=True)
-        total = np.bincount(place, weights=counts, minlength=len(pair)).astype(np.int64)
-        kept = total > 0
-        pair, total = pair[kept], total[kept]
-        own, own_context = pair // (CONTEXTS + 1), pair % (CONTEXTS + 1)
-        of_word = np.bincount(own, weights=total, minlength=len(words)).astype(np.int64)
-        types = np.bincount(own, minlength=len(words))
-        stats = [
-            *np.bincount(own_context, weights=total, minlength=CONTEXTS + 1).astype(np.int64).tolist(), *np.bincount(own_context, minlength=CONTEXTS + 1).tolist(),
-            int((of_word > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int((types == 1).sum()), int((types == 2).sum()),
-        ]
-        number += 1
-        return pa.RecordBatch.from_pydict({
-            "seed": pa.array([part * 100_000 + number], pa.int64()), "n_words": pa.array([len(words)], pa.int32()), "words": [words.tobytes()], "contexts": [own_context.astype(np.uint8).tobytes()],
-            "counts": [total.tobytes()], "word_of": [own.astype(np.int32).tobytes()], "req_chunk": [chunk.tobytes()], "req_context": [contexts.astype(np.uint8).tobytes()], "req_word": [word_of.astype(np.int32).tobytes()], "stats": pa.array([stats], pa.list_(pa.int64())),
-        })
-
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-    for batch in batches:
-        held.append(tuple(np.asarray(batch.column(i)) for i in range(3)))
-        size += batch.num_rows
-        if size >= BLOCK_ROWS:
-            w, chunk, v = (np.concatenate([h[i] for h in held]) for i in range(3))
-            cut = int(np.searchsorted(w, w[-1]))
-            if cut:
-                yield make(w[:cut], chunk[:cut], v[:cut])
-            held, size = [(w[cut:], chunk[cut:], v[cut:])], len(w) - cut
-    if size:
-        yield make(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-
-
-def fit(blocks: DataFrame, sweeps: int) -> Totals:
-    """Runs the sweeps; each brings one row of sums to the driver."""
-    n = CONTEXTS + 1
-    first = blocks.agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)).alias(f"s{i}") for i in range(2 * n + 5)]).first()
-    s = [int(x) for x in first]
-    totals = Totals(np.array(s[:n]), np.array(s[n : 2 * n]), s[2 * n], (s[2 * n + 1], s[2 * n + 3]), (s[2 * n + 2], s[2 * n + 4]))
-    for sweep in range(sweeps):
+        yield from flush()
 
-        def run(batches: Iterator[pa.RecordBatch], own: Totals = totals, upto: int = sweep + 1) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    block = _arrays(row)
-                    *_, (tables, _, root, _) = block.sample(own, upto)
-                    sums = np.append(np.bincount(block.contexts, weights=tables, minlength=CONTEXTS + 1), root.sum()).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.int64()))], ["sums"])
 
-        state = blocks.select("seed", "n_words", "contexts", "counts", "word_of").mapInArrow(run, "sums array<long>")
-        got = state.agg(*[F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)).alias(f"s{i}") for i in range(n + 1)]).first()
-        totals.sweeps.append((np.array([float(x) for x in got[:n]]), float(got[n])))
-    return totals
+def _asked(wanted: DataFrame) -> DataFrame:
+    """(u, w, chunk, c, first): what each chunk asks for and its training count ``c``; ``first`` holds in one row of each pair or word."""
+    same = Window.partitionBy("u", "w")
+    first = F.row_number().over(same.orderBy("chunk")) == 1
+    counted = wanted.withColumns({"c": F.sum("n").over(same.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "first": first})
+    return written(counted.select("u", "w", "chunk", "c", "first"), "lm-asked")
 
 
-def _answers(blocks: DataFrame, totals: Totals, samples: int) -> DataFrame:
-    """(chunk, keys, counts, scores): what each block answers to each chunk."""
+def _key() -> Column:
+    """``pair_keys`` of columns u and w."""
+    return F.col("w").bitwiseXOR(F.shiftleft("u", 1).bitwiseOR(F.shiftrightunsigned("u", 63))).alias("key")
+
+
+def _drawn(rows: DataFrame, sweep: int, d: float, count: str, tables: str, others: str, base: str) -> DataFrame:
+    """``rows`` with column ``tables`` redrawn for ``count`` customers."""
+    at = [rows.columns.index(name) for name in (count, tables, others, base)]
+    place = at[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweeps, d = len(totals.sweeps), totals.discount
         for batch in batches:
-            for row in batch.to_pylist():
-                block = _arrays(row)
-                words = np.frombuffer(row["words"], dtype=np.int64).view(np.uint64)
-                chunk = np.frombuffer(row["req_chunk"], dtype=np.int64)
-                context = np.frombuffer(row["req_context"], dtype=np.uint8).astype(np.int64)
-                word = np.frombuffer(row["req_word"], dtype=np.int32).astype(np.int64)
-                pairs = block.word_of * (CONTEXTS + 1) + block.contexts
-                asked = word * (CONTEXTS + 1) + context
-                at = np.minimum(np.searchsorted(pairs, asked), max(0, len(pairs) - 1))
-                seen = pairs[at] == asked if len(pairs) else np.zeros(len(asked), dtype=bool)
-                probability = np.zeros(len(asked))
-                for i, (tables, customers, root, _) in enumerate(block.sample(totals, sweeps)):
-                    if i < sweeps - samples:
-                        continue
-                    there, root_there = totals.sweeps[i]
-                    base = root_probability(customers, root, there.sum(), root_there, totals)[word]
-                    room = STRENGTH + totals.customers[context]
-                    own = np.where(seen, block.counts[at] - d * tables[at], 0.0) if len(pairs) else 0.0
-                    probability += (own + (STRENGTH + d * there[context]) * base) / room
-                scores = np.log10(probability / samples)
-                counts = np.bincount(block.word_of, weights=block.counts, minlength=block.n_words).astype(np.int64)[word]
-                keys = pair_keys(words[word], context)
-                order = np.argsort(chunk, kind="stable")
-                ends = np.flatnonzero(np.append(np.diff(chunk[order]) != 0, True)) + 1
-                rows, begin = [], 0
-                for end in ends.tolist():
-                    part = order[begin:end]
-                    rows.append((int(chunk[part[0]]), keys[part].tobytes(), counts[part].tobytes(), scores[part].astype(np.float32).tobytes()))
-                    begin = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["chunk", "keys", "counts", "scores"])
-
-    return blocks.select("seed", "n_words", "words", "contexts", "counts", "word_of", "req_chunk", "req_context", "req_word").mapInArrow(run, "chunk long, keys binary, counts binary, scores binary")
-
-
-def _bytes(column: pa.ChunkedArray) -> np.ndarray:
-    """All bytes of a binary column, one after the other, without copies of single values."""
-    parts = []
-    for chunk in column.chunks:
-        offsets = np.frombuffer(chunk.buffers()[1], dtype=np.int32 if pa.types.is_binary(chunk.type) else np.int64)
-        first, last = int(offsets[chunk.offset]), int(offsets[chunk.offset + len(chunk)])
-        parts.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[first:last])
-    return np.concatenate(parts)
-
-
-def _dictionaries(answers: DataFrame, folder: str) -> DataFrame:
-    """Writes one dictionary file for each chunk: pair keys in order, counts, scores."""
+            if batch.num_rows:
+                c, t, there, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in at)
+                rng = np.random.default_rng((sweep, batch.num_rows, int(batch.column(0)[0].as_py()) & (1 << 63) - 1))
+                new = draw_tables(c.astype(np.int64), np.maximum(0.0, there - t), p, d, rng)
+                yield batch.set_column(place, tables, pa.array(new, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+class Seating(NamedTuple):
+    """What the sweeps leave: key, t (sum over samples); w, bases; u, theres."""
+
+    totals: Totals
+    pairs: DataFrame
+    words: DataFrame
+    contexts: DataFrame
+    unknown: list[float]
+
+
+def fit(asked: DataFrame, sweeps: int, samples: int) -> Seating:
+    """Runs the sweeps; each writes its tables and brings one row of sums to the driver."""
+    pairs = asked.where("first and u <> 0 and c > 0")
+    none = F.array().cast("array<double>")
+    ones = F.sum((F.col("c") == 1).cast("long")).alias("ones")
+    words = written(pairs.groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("types"), ones), "lm-words")
+    contexts = written(pairs.groupBy("u").agg(F.count("*").cast("double").alias("there"), ones), "lm-contexts")
+    one, two = (F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2))
+    of_pairs = pairs.agg(one, two).first()
+    one, two = (F.coalesce(F.sum((F.col("types") == k).cast("long")), F.lit(0)) for k in (1, 2))
+    of_words = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), one, two).first()
+    totals = Totals(np.array([of_words[1]]), np.array([of_words[2]]), of_words[0], (of_pairs[0], of_words[3]), (of_pairs[1], of_words[4]))
+    uniform = 1.0 / (totals.words + 1)
+    state = written(pairs.where("c > 1").select(_key(), "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("all")), "lm-tables")
+    seats = words.select("w", "ones", F.lit(0).cast("long").alias("root"), F.greatest(F.col("n") / max(1, totals.n), F.lit(uniform * 1e-3)).alias("base"), none.alias("bases"))
+    rooms = contexts.select("u", "ones", "there", none.alias("theres"))
+    root_there, unknown = float(totals.words), []
+    for sweep in range(sweeps):
+        sampled = sweep >= sweeps - samples
+        met = state.join(rooms.select("u", "there"), "u").join(seats.select("w", "base"), "w").select("key", "u", "w", "c", "t", "all", "there", "base")
+        drawn = _drawn(met, sweep, totals.discount, "c", "t", "there", "base")
+        before = (state, seats, rooms)
+        state = written(drawn.select("key", "u", "w", "c", "t", (F.col("all") + F.col("t") * int(sampled)).alias("all")), "lm-tables")
+        customers = F.col("ones") + F.coalesce("more", F.lit(0))
+        sat = seats.join(state.groupBy("w").agg(F.sum("t").alias("more")), "w", "left").select("w", "ones", customers.alias("customers"), "root", F.lit(root_there).alias("there"), F.lit(uniform).alias("p"), "bases")
+        sat = written(_drawn(sat, sweep, totals.root_discount, "customers", "root", "there", "p"), "lm-words")
+        all_customers, all_tables = (float(x or 0) for x in sat.agg(F.sum("customers"), F.sum("root")).first())
+        base = root_probability(F.col("customers"), F.col("root"), all_customers, all_tables, totals)
+        seats = sat.select("w", "ones", "root", base.alias("base"), (F.concat("bases", F.array(base)) if sampled else F.col("bases")).alias("bases"))
+        there = customers.cast("double")
+        rooms = written(rooms.join(state.groupBy("u").agg(F.sum("t").alias("more")), "u", "left").select("u", "ones", there.alias("there"), (F.concat("theres", F.array(there)) if sampled else F.col("theres")).alias("theres")), "lm-contexts")
+        for table in before:
+            discard(table)
+        root_there = all_tables
+        if sampled:
+            unknown.append(float(root_probability(0.0, 0.0, all_customers, all_tables, totals)))
+    return Seating(totals, state.select("key", "all"), seats.select("w", "bases"), rooms.select("u", "theres"), unknown)
+
+
+def _answers(asked: DataFrame, seating: Seating, samples: int) -> DataFrame:
+    """(chunk, key, n, own, base0.., there0..): of words their count, probabilities in the parent and tables as contexts; of pairs of no or several customers their customers after the discount."""
+    d = seating.totals.discount
+    pairs = asked.where("u <> 0").select(_key(), "chunk", "c")
+    several = pairs.where("c > 1").join(seating.pairs, "key").select("chunk", "key", (F.col("c") - d * F.col("all") / samples).cast("float").alias("own"))
+    own = several.unionByName(pairs.where("c = 0").select("chunk", "key", F.lit(0).cast("float").alias("own")))
+    names = [f"{kind}{i}" for kind in ("base", "there") for i in range(samples)]
+    pairs = own.select("chunk", "key", F.lit(-1).cast("long").alias("n"), "own", *[F.lit(0.0).alias(name) for name in names])
+    words = asked.where("u = 0").select("chunk", F.col("w").alias("key"), F.col("c").alias("n"))
+    words = words.join(seating.words.withColumnRenamed("w", "key"), "key", "left").join(seating.contexts.withColumnRenamed("u", "key"), "key", "left")
+    bases = [F.coalesce(F.col("bases")[i], F.lit(x)) for i, x in enumerate(seating.unknown)]
+    theres = [F.coalesce(F.col("theres")[i], F.lit(0.0)) for i in range(samples)]
+    return pairs.unionByName(words.select("chunk", "key", "n", F.lit(0).cast("float").alias("own"), *[c.alias(name) for c, name in zip(bases + theres, names, strict=True)]))
+
+
+def _dictionaries(answers: DataFrame, folder: str, samples: int, d: float) -> DataFrame:
+    """Writes one dictionary file for each chunk: words in order with counts, parent probabilities and shares of the parent; pair keys in order with what they have of their own."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        keys, first = np.unique(_bytes(group.column("keys")).view(np.uint64), return_index=True)
+        keys, n = group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy()
+        word = n >= 0
+        words, first = np.unique(keys[word], return_index=True)
+        bases, theres = (np.stack([group.column(f"{kind}{i}").to_numpy()[word][first] for i in range(samples)], axis=1) for kind in ("base", "there"))
+        pairs, at = np.unique(keys[~word], return_index=True)
+        own = group.column("own").to_numpy()[~word][at]
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         name = f"{base}/{key[0].as_py() & (1 << 64) - 1:016x}"
-        own = f"{name}.{np.random.default_rng().integers(1 << 62):x}"
-        with system.open_output_stream(own) as out:
-            out.write(np.array([len(keys)], dtype=np.int64).tobytes())
-            out.write(keys)
-            out.write(_bytes(group.column("counts")).view(np.int64)[first])
-            out.write(_bytes(group.column("scores")).view(np.float32)[first])
-        system.move(own, name)  # the same content, whichever attempt comes last
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "pairs": pa.array([len(keys)], pa.int64())})
+        part = f"{name}.{np.random.default_rng().integers(1 << 62):x}"
+        with system.open_output_stream(part) as out:
+            for values in (np.array([len(words), len(pairs)], dtype=np.int64), words, n[word][first], bases, (STRENGTH + d * theres) / samples, pairs, own):
+                out.write(np.ascontiguousarray(values).tobytes())
+        system.move(part, name)  # the same content, whichever attempt comes last
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "pairs": pa.array([len(pairs)], pa.int64())})
 
     return written(answers.groupBy("chunk").applyInArrow(run, "chunk long, pairs long"), "lm-dictionaries")
 
 
 class _Dictionary:
-    def __init__(self, system: fs.FileSystem, path: str):
+    def __init__(self, system: fs.FileSystem, path: str, samples: int, d: float):
         with system.open_input_stream(path) as file:
             data = file.read()
-        n = int(np.frombuffer(data, dtype=np.int64, count=1)[0])
-        self.keys = np.frombuffer(data, dtype=np.uint64, count=n, offset=8)
-        self.counts = np.frombuffer(data, dtype=np.int64, count=n, offset=8 + 8 * n)
-        self.scores = np.frombuffer(data, dtype=np.float32, count=n, offset=8 + 16 * n)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        if not np.array_equal(self.keys[at], keys):
+        at, self.single = 16, 1 - d
+        n, m = np.frombuffer(data, dtype=np.int64, count=2).tolist()
+
+        def taken(kind: type, count: int) -> np.ndarray:
+            nonlocal at
+            values = np.frombuffer(data, dtype=kind, count=count, offset=at)
+            at += values.nbytes
+            return values
+
+        self.words, self.counts = taken(np.uint64, n), taken(np.int64, n)
+        self.bases, self.shares = (taken(np.float64, n * samples).reshape(n, samples) for _ in range(2))
+        self.pairs, self.own = taken(np.uint64, m), taken(np.float32, m)
+        self.begin = int(self._word(np.array([BEGIN]))[0])
+
+    def _word(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        if not np.array_equal(self.words[at], words):
             raise RuntimeError("the documents changed between the passes")
         return at
 
+    def find(self, dishes: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and log10 probabilities of a text's dishes."""
+        at = self._word(dishes)
+        before = np.append(self.begin, at[:-1])
+        probability = (self.shares[before] * self.bases[at]).sum(axis=1)
+        own = self.single
+        if len(self.pairs):
+            keys = pair_keys(dishes, contexts)
+            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            own = np.where(self.pairs[place] == keys, self.own[place], self.single)
+        # a word is followed each time it occurs, and each text begins
+        known = self.counts[before]
+        return self.counts[at], np.log10((own + probability) / (STRENGTH + known))
+
 
 def score(documents: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = documents.sparkSession
     own = chunked(documents)
-    wanted = own.select("chunk", "train", "text").mapInArrow(_wanted, "w long, chunk long, v long")
-    blocks = written(wanted.repartition("w").sortWithinPartitions("w").mapInArrow(_blocks, _BLOCK_SCHEMA), "lm-blocks")
-    totals = fit(blocks, sweeps)
+    asked = _asked(own.select("chunk", "train", "text").mapInArrow(_wanted, "u long, w long, chunk long, n long"))
+    seating = fit(asked, sweeps, samples)
+    totals = seating.totals
     folder = scratch_dir(spark, "lm")
-    _dictionaries(_answers(blocks, totals, samples), folder)
+    _dictionaries(_answers(asked, seating, samples), folder, samples, totals.discount)
+    discard(asked)
     n, floor = totals.n, 0.5
     denominator = math.log10(n + floor * (totals.words + 1))
 
@@ -375,11 +379,9 @@ def score(documents: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) ->
             for i, words in hashed_texts(batch.column(3)):
                 if chunks[i] != now:
                     now = chunks[i]
-                    book = _Dictionary(system, f"{base}/{int(now) & (1 << 64) - 1:016x}")
-                dishes, contexts = tokens(words)
-                at = book.find(pair_keys(dishes, contexts))
-                counts = book.counts[at]
-                out.append((len(dishes), int((counts > 0).sum()), float(np.log10(counts + floor).sum()) - len(dishes) * denominator, float(book.scores[at].sum(dtype=np.float64))))
+                    book = _Dictionary(system, f"{base}/{int(now) & (1 << 64) - 1:016x}", samples, totals.discount)
+                counts, scores = book.find(*tokens(words))
+                out.append((len(counts), int((counts > 0).sum()), float(np.log10(counts + floor).sum()) - len(counts) * denominator, float(scores.sum())))
             held = pa.array(~batch.column(2).to_numpy(zero_copy_only=False))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] if out else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(1), held, columns[0], columns[1], pa.array(np.full(len(held), n, dtype=np.int64)), columns[2], columns[3]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

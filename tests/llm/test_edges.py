@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridloom.llm import addressable, htmlcrf, mixing, partenum, pieces, pitmanyor, quality, topk, winnowing, wordpieces
 from gridloom.llm.scratch import scratch_dir
+from gridloom.llm.words import hashed_texts
 
 LONG = "lorem ipsum " * 120_000
 WORDS = "the quick brown fox jumps over the lazy dog and runs far away from here today".split()
@@ -145,6 +146,23 @@ def test_lm_probabilities_sum_to_one():
         assert ((own + (1 + totals.discount * there[c]) * base) / (1 + totals.customers[c])).sum() == pytest.approx(1)
 
 
+def test_lm_contexts_are_the_words_before(spark):
+    """Words whose hashes share their highest bits are contexts of their own."""
+    words = [f"w{k}" for k in range(200)]
+    hashes = words_of(words)
+    a, b = next((words[i], words[j]) for i in range(200) for j in range(i) if hashes[i] >> np.uint64(59) == hashes[j] >> np.uint64(59))
+    texts = [f"{a} x", f"{b} y"] * 60 + [f"{a} y", f"{b} x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {t: r["score"] for t, r in zip(texts, sorted(pitmanyor.score(docs).collect(), key=lambda r: r["doc_id"]), strict=True)}
+    assert got[f"{a} x"] > got[f"{a} y"] + 0.5 and got[f"{b} y"] > got[f"{b} x"] + 0.5
+
+
+def words_of(words):
+    import pyarrow as pa
+
+    return [h[0] for _, h in hashed_texts(pa.array(words))]
+
+
 def test_mix(docs, none):
     got = mixing.mix(docs).collect()
     sizes = Counter()
