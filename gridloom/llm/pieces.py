@@ -257,7 +257,7 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(documents: DataFrame, model_file: str | None = None, with_ids: bool = False, verify: bool = True, rows: int = 256) -> DataFrame:
+def encode(documents: DataFrame, model_file: str | None = None, with_ids: bool = True, verify: bool = True, rows: int = 256) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_disagreed (and ids, decoded): one row per document."""
     path = model_file or default_model()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_disagreed long" + ", ids array<int>, decoded string" * with_ids
@@ -291,4 +291,4 @@ def encode(documents: DataFrame, model_file: str | None = None, with_ids: bool =
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

@@ -315,6 +315,13 @@ def test_pieces(docs, none):
     assert pieces.encode(none).count() == 0
 
 
+def test_pipeline_ends_with_ids_and_text(spark, docs):
+    library = pieces.encoder(pieces.default_model()).vocabulary.library
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    want = [library.encode(t or "", add_bos=True, add_eos=True) for _, t, _ in TEXTS]
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got) == Counter((i, tuple(ids), library.decode(ids)) for (i, _, _), ids in zip(TEXTS, want, strict=True))
+
+
 def test_agenda_alone_equals_the_library():
     rng = np.random.default_rng(4)
     own = pieces.PieceEncoder(pieces.default_model(), verify=False)
