@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 60
-    rate: float = 0.1
-    leaves: int = 15
+    """The reference's model; ``bins`` counts the ends of the quantiles, so 256 are the library's 255 bins."""
+
+    rounds: int = 300
+    rate: float = 0.05
+    leaves: int = 31
     penalty: float = 1.0
-    bins: int = 64
-    least: int = 10
+    bins: int = 256
+    least: int = 20
 
 
 class Booster:

@@ -103,6 +103,16 @@ def test_nearest_of_one_point_is_null(spark):
     assert boxes.nearest_other(one).collect()[0]["nearest"] is None
 
 
+def test_booster_has_the_size_of_the_reference():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 2))
+    model = boosting.Booster().fit(x, (x.sum(axis=1) + rng.normal(size=3000) > 0).astype(float), np.ones(3000))
+    leaves = [sum(len(node) == 1 for node in tree) for tree in model.trees]
+    assert len(model.trees) == 300 and max(leaves) == 31
+    assert all(len(edges) + 1 == 255 for edges in model.edges)
+    assert (model.settings.rate, model.settings.penalty, model.settings.least) == (0.05, 1.0, 20)
+
+
 def test_booster_learns_with_missing_values():
     rng = np.random.default_rng(1)
     x = rng.random((800, 3))
