@@ -295,8 +295,9 @@ def q_sample_windows(gt: DataFrame) -> DataFrame:
 
 @query("gt", sql="""SELECT fid, CAST(x AS INT) AS c, CAST(y AS INT) AS r FROM (SELECT fid, unnest(range(CAST(ceil(minx - 0.5) AS INT), CAST(ceil(maxx - 0.5) AS INT))) AS x, miny, maxy FROM gt WHERE fid < 200) s, LATERAL (SELECT unnest(range(CAST(ceil(miny - 0.5) AS INT), CAST(ceil(maxy - 0.5) AS INT))) AS y)""")
 def q_rasterize_boxes(gt: DataFrame) -> DataFrame:
-    span = lambda a, b: F.sequence(F.ceil(F.col(a) - 0.5).cast("int"), (F.ceil(F.col(b) - 0.5) - 1).cast("int"))
-    return gt.where("fid < 200").select("fid", F.explode(span("minx", "maxx")).alias("c"), "miny", "maxy").select("fid", "c", F.explode(span("miny", "maxy")).alias("r"))
+    cell = lambda a: F.ceil(F.col(a) - 0.5).cast("int")
+    span = lambda a, b: F.when(cell(a) < cell(b), F.sequence(cell(a), cell(b) - 1))
+    return gt.select("fid", F.explode(span("minx", "maxx")).alias("c"), "miny", "maxy").select("fid", "c", F.explode(span("miny", "maxy")).alias("r"))
 
 
 @query("gt", "pred", sql=f"SELECT fid FROM gt WHERE fid NOT IN (SELECT a.fid FROM gt a JOIN {P1} b ON {MEET})")

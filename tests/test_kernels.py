@@ -10,6 +10,7 @@ from gridloom.functions import kernels as ke
 from gridloom.functions import rings as rg
 from gridloom.operators import boosting, boxes, regions
 from gridloom.operators import raster as ra
+from gridloom.plans.vector_queries import q_rasterize_boxes
 
 SQUARE = ke.closed(np.array([[0, 0], [1, 0], [1, 1], [0, 1.0]]))
 CORNER = ke.closed(np.array([[0, 0], [4, 0], [4, 2], [2, 2], [2, 4], [0, 4.0]]))
@@ -103,6 +104,13 @@ def test_nearest_of_one_point_is_null(spark):
     assert boxes.nearest_other(one).collect()[0]["nearest"] is None
 
 
+def test_every_box_is_rasterised(spark):
+    rows = [(0, 0.0, 0.0, 2.0, 1.0), (199, 3.6, 1.0, 5.4, 2.6), (200, 0.4, 7.0, 1.6, 8.0), (5000, 9.0, 9.0, 10.0, 11.0), (5001, 2.6, 3.0, 3.4, 5.0)]
+    got = q_rasterize_boxes(spark.createDataFrame(rows, "fid long, minx double, miny double, maxx double, maxy double")).collect()
+    inside = [(f, c, r) for f, x0, y0, x1, y1 in rows for c in range(12) for r in range(12) if x0 <= c + 0.5 < x1 and y0 <= r + 0.5 < y1]
+    assert sorted((r["fid"], r["c"], r["r"]) for r in got) == inside
+
+
 def test_booster_has_the_size_of_the_reference():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 2))
