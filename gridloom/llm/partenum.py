@@ -2,21 +2,26 @@
 
 Sets of word shingles are put into bands of size in which every two sets of at least the
 asked likeness lie in the same or the next band, and for which that likeness bounds the
-number of differing elements by k. The shingle domain is hashed into n1 * n2 parts; sets
-that differ in at most k elements differ in at most K2 elements in some first-level part,
-so they agree on some ``N2 - K2`` of its second-level parts. A signature is the hash of a
-set's elements in one such choice of parts: all links are among equal signatures.
-
-Steps: (1) one pass gives every document its set's digest and signatures, copies that a task
-has seen already without signatures; (2) sets that share a signature are kept, and of
-signatures with the same members only one; (3) bucket counts of a set bound its
-intersections from above and rule out most of the false pairs within a signature, and the
-pairs left connect sets to clusters; only documents that represent such a set are read
-again, and a cluster, in blocks of bounded bytes, is compared by exact counts in one task
-for each pair of blocks, which returns a spanning forest of the links; (4) components over representatives; (5) every document takes its set's component.
-
-Exact and whole: no bucket is capped; large ones are split into pairs of blocks. Pairs within
-a group of copies are never formed.
+number of differing elements by k. The shingle domain is hashed into ``k + 1 + spare`` parts;
+of the subsets of parts that are enumerated (one of each pair of parts), sets that differ in
+at most k elements agree on ``spare + 1`` at least. A signature is the hash of a set's
+elements in one such subset.
+
+Signatures that say little are left out without losing a link. Any subset of the domain
+keeps the bound k, so shingles that a bounded sample shows to be common are not hashed. A set
+with at most ``spare`` empty parts shares a part that is not empty with all it links with, so
+empty parts are not signed; sets with more also sign their parts of the whole domain. And a
+set must share ``spare + 1 - empty`` signatures in all, so sets that share fewer drop out.
+
+Steps: (1) a pass gives every document its set's digest; (2) a pass sends signatures, of copies
+that a task has seen already none, and keeps those that two sets share; (3) sets that share
+too few drop out and the rest are connected to clusters; (4) the documents that represent a
+set of a cluster are read again and the cluster is compared by exact counts in one task; of
+larger clusters every block meets a few leaders first, and only what is not connected with
+most of the cluster is compared with all of it, block by block; (5) components over
+representatives; (6) every document takes its set's component.
+
+Exact and whole: no bucket is capped, and pairs within a group of copies are never formed.
 
 Defined results: null or blank text has no shingles, links with nothing and is its own
 component; fewer words than a shingle make one shingle; repeated rows and equal texts share
@@ -27,7 +32,6 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,8 +47,10 @@ from gridloom.operators.graph import components
 
 SEEN = 1 << 17
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
-#: Sketches (about n / 8 bytes each) up to which they are sent to every task.
-BROADCAST_SKETCHES = 300_000
+#: A shingle is common when ``COMMON_ROWS`` of about ``SAMPLE_ROWS`` sampled documents hold it; which ones are
+#: taken for common changes the cost alone, never a link.
+SAMPLE_ROWS, COMMON_ROWS = 8192, 8
+LEADERS = 8
 
 
 @dataclass(frozen=True)
@@ -54,8 +60,7 @@ class Join:
     n: int = 5
     num: int = 80
     den: int = 100
-    n2: int = 2
-    k2: int = 1
+    spare: int = 8  # parts beyond the least number: one and another for each ``spare`` differences
 
     @functools.cached_property
     def bands(self) -> np.ndarray:
@@ -66,188 +71,151 @@ class Join:
             low = ends[-1] + 1
         return np.array(ends, dtype=np.int64)
 
-    def signatures(self, items: np.ndarray) -> np.ndarray:
-        """Signatures of a set, for its own band and the next."""
-        ends = self.bands
-        band = int(np.searchsorted(ends, len(items)))
-        return np.concatenate([self._of_band(items, b, int(ends[b])) for b in (band, band + 1)])
-
-    def _of_band(self, items: np.ndarray, band: int, most: int) -> np.ndarray:
-        # sizes a, b <= most and intersection >= num/den of the union: they differ in at most k elements
-        k = (self.den - self.num) * 2 * most // (self.den + self.num)
-        n1 = -(-(k + 1) // (self.k2 + 1))
-        part = (mix64(items ^ np.uint64(band + 1)) % np.uint64(n1 * self.n2)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        codes = mix64(items + np.uint64(0x51ED270B))[order]
-        sums = np.zeros(n1 * self.n2 + 1, dtype=np.uint64)
-        ends = np.searchsorted(part[order], np.arange(n1 * self.n2), side="right")
-        running = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes, dtype=np.uint64)])
-        sums = np.diff(running[np.concatenate([[0], ends])]).reshape(n1, self.n2)
-        place = np.arange(n1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band << 20)
-        out = []
-        for turn, chosen in enumerate(itertools.combinations(range(self.n2), self.n2 - self.k2)):
-            h = place + np.uint64(turn)
-            for j in chosen:
-                h = mix64(h) + sums[:, j]
-            out.append(mix64(h))
-        return np.concatenate(out)
-
-
-def sketch(items: np.ndarray) -> bytes:
-    """Counts of a set's elements in about n / 8 hash buckets (a power of two), a byte each; empty if a count doesn't fit.
-
-    The sum of the lesser counts of two sets is never below the size of their intersection.
-    """
-    width = 1 << max(4, (len(items) // 8).bit_length())
-    counts = np.bincount((mix64(items ^ np.uint64(0x5BD1E995)) & np.uint64(width - 1)).astype(np.int64), minlength=width)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    def signatures(self, items: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, roles) of a set, for its own band and the next.
 
+        A role tells a set's signatures of one band and domain apart and holds how many of them it must share.
+        """
+        band = int(np.searchsorted(self.bands, len(items)))
+        rare = items
+        if len(common):
+            rare = items[common[np.minimum(np.searchsorted(common, items), len(common) - 1)] != items]
+        found = [part for turn in (0, 1) for part in self._of_band(items, rare, band + turn, turn)]
+        return np.concatenate([s for s, _ in found]), np.concatenate([np.full(len(s), role, dtype=np.int32) for s, role in found])
 
-def may_link(sizes: np.ndarray, sketches: list[bytes], sides: np.ndarray, reps: np.ndarray, join: Join) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sketches don't rule out a link."""
-    parent = list(range(len(sizes)))
+    def _of_band(self, items: np.ndarray, rare: np.ndarray, band: int, turn: int) -> Iterator[tuple[np.ndarray, int]]:
+        # sizes a, b <= most and intersection >= num/den of the union: they differ in at most k elements
+        k = (self.den - self.num) * 2 * int(self.bands[band]) // (self.den + self.num)
+        spare = 1 + k // self.spare
+        for domain, own in enumerate((rare, items)):
+            codes, held = _parts(own, k + 1 + spare, 2 * band + domain)
+            empty = len(held) - int(held.sum())
+            few = empty <= spare
+            yield codes[held] if few or domain == 0 else codes, turn + 2 * domain + 4 * (spare + 1 - empty if few else 1)
+            if few:
+                return
+
+
+def _parts(items: np.ndarray, count: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the elements in each of ``count`` parts, and which parts hold any."""
+    part = (mix64(items ^ np.uint64(salt + 1)) % np.uint64(count)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    running = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(items + np.uint64(0x51ED270B))[order], dtype=np.uint64)])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=count))])
+    place = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt << 20)
+    return mix64(mix64(place) + np.diff(running[ends])), np.diff(ends) > 0
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    forest: list[tuple[int, int]] = []
+def _digest(items: np.ndarray) -> tuple[int, int]:
+    low = np.sum(mix64(items ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)
+    return int(mix64(np.array([low ^ np.uint64(len(items))]))[0].astype(np.int64)), int(np.sum(mix64(items + np.uint64(0x1234567)), dtype=np.uint64).astype(np.int64))
 
-    def joined(x: int, y: int) -> None:
-        p, q = root(x), root(y)
-        if p != q:
-            parent[p] = q
-            forest.append((int(reps[x]), int(reps[y])))
 
-    if len(sizes) == 2 and all(sketches) and len(sketches[0]) == len(sketches[1]) and sides[0] <= sides[1]:
-        a, b = (np.frombuffer(k, dtype=np.uint8) for k in sketches)
-        most = int(np.minimum(a, b).sum())
-        linked_ = join.den * most >= join.num * (int(sizes[0]) + int(sizes[1]) - most)
-        return [(int(reps[0]), int(reps[1]))] if linked_ else []
-    width = min((len(k) for k in sketches if k), default=1)
-    folded = np.array([np.frombuffer(k, dtype=np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) if k else np.zeros(width, dtype=np.int32) for k in sketches])
-    whole = np.array([not k for k in sketches])
-    first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    between = len(second) > 0
-    for at, x in enumerate(first.tolist()):
-        others = second if between else first[at + 1 :]
-        if not len(others):
-            continue
-        most = np.minimum(folded[others], folded[x]).sum(axis=1)
-        most = np.where(whole[others] | whole[x], np.minimum(sizes[others], sizes[x]), most)
-        for y in others[join.den * most >= join.num * (sizes[others] + sizes[x] - most)].tolist():
-            joined(x, y)
-    return forest
+def _texts(documents: DataFrame) -> DataFrame:
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
 
-def _digest(items: np.ndarray) -> tuple[int, int]:
-    low = np.sum(mix64(items ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)
-    return int(mix64(np.array([low ^ np.uint64(len(items))]))[0].astype(np.int64)), int(np.sum(mix64(items + np.uint64(0x1234567)), dtype=np.uint64).astype(np.int64))
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def signed(documents: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (the set's digest), sigs and sketch; these two null where the task has seen the set before."""
+def digests(documents: DataFrame, join: Join) -> DataFrame:
+    """doc_id, n_shingles, k1, k2 (the set's digest) of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows = []
-                for _, words in hashed_texts(batch.column(1)):
+                ids, rows = batch.column(0).to_pylist(), []
+                for i, words in hashed_texts(batch.column(1)):
                     items = shingles(words, join.n)
-                    if not len(items):
-                        rows.append((0, None, None, None, None))
-                        continue
-                    key = _digest(items)
-                    rows.append((len(items), *key, None, None) if key in seen else (len(items), *key, join.signatures(items).view(np.int64), sketch(items)))
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(key)
-                n, k1, k2, sigs, sketches = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    ["doc_id", "n_shingles", "k1", "k2", "sigs", "sketch"],
-                )
-
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return spread(own).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>, sketch binary")
+                    rows.append((ids[i], len(items), *(_digest(items) if len(items) else (None, None))))
+                yield _batch(rows, schema)
 
+    return _texts(documents).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
-def shared_signatures(sigs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, k1, k2, rep, n, c, most): the members of every signature that two sets share, one signature for each set of members."""
-    rows = sigs.where(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "k1")
-    every = Window.partitionBy("sig")
-    shared = rows.withColumn("a", F.min("k1").over(every)).withColumn("b", F.max("k1").over(every)).where("a < b").select("sig", "k1").distinct()
-    shared = written(shared, "shared")
-    discard(sigs)
-    members = shared.join(classes, "k1").select("sig", "k1", "k2", "rep", "n")
-    groups = members.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("k1", "k2").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("k1", "k2", F.lit(1))).alias("y"), F.max("n").alias("n"))
-    first = groups.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.max("n").alias("most"))
-    return written(members.join(first.select("sig", "c", "most"), "sig"), "members")
 
+def common_shingles(documents: DataFrame, rows: int, join: Join) -> np.ndarray:
+    """Shingles that ``COMMON_ROWS`` documents of a sample hold, sorted; the sample is by hash of doc_id, about ``SAMPLE_ROWS`` rows.
 
-def _blocks(rows: DataFrame, item_bytes: float) -> DataFrame:
-    """Deals members (grp, rep, k1, k2, c, most) to pairs of blocks x <= y of their group; ``side`` tells the block."""
-    most = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_BYTES) / (F.col("most") * item_bytes)))).cast("int")
-    placed = rows.withColumn("blocks", F.greatest(F.ceil(F.col("c") / most).cast("int"), F.lit(1))).withColumn("own", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
-    pairs = placed.select("grp", "rep", "k1", "k2", "n", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return pairs.select("grp", "rep", "k1", "k2", "n", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-
-
-def gathered(members: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
-    """(grp, k1, k2, rep, n, c, most): sets that are compared together.
-
-    Within a signature, pairs that their sketches rule out are dropped; what is left connects
-    sets to clusters, and the sets of a cluster are compared with each other.
+    At most the sample's shingles / ``COMMON_ROWS`` come to the driver.
     """
-    pairs = _blocks(members.withColumnRenamed("sig", "grp"), 1.0)
-    rows = sketches.count()
-    loaded = pairs.join(beside(sketches, rows, BROADCAST_SKETCHES), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, out = None, {}, []
+        for batch in batches:
+            for _, words in hashed_texts(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(words, join.n).view(np.int64))], ["item"])
+
+    step = max(1, rows // SAMPLE_ROWS)
+    chosen = documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(step)) == 0).select(F.col("text").cast("string").alias("text"))
+    counted = chosen.mapInArrow(run, "item long").groupBy("item").count().where(F.col("count") >= COMMON_ROWS)
+    return np.sort(np.array([r["item"] for r in counted.select("item").collect()], dtype=np.int64).view(np.uint64))
+
 
-        def close() -> None:
-            if len(members) > 1:
-                keys = list(members)
-                n, side, sketches = zip(*members.values(), strict=True)
-                out.extend(may_link(np.array(n), list(sketches), np.array(side), np.array([k[0] for k in keys]), join))
-            members.clear()
+def shared_signatures(documents: DataFrame, join: Join, common: np.ndarray) -> DataFrame:
+    """(sig, k1, role): the signatures that two sets share, once for each set."""
+    schema = pa.schema([("sig", pa.int64()), ("k1", pa.int64()), ("role", pa.int32())])
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                sigs, keys, roles = [], [], []
+                for _, words in hashed_texts(whole.column(0).slice(at, 128)):
+                    items = shingles(words, join.n)
+                    if not len(items) or (key := _digest(items)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    own, role = join.signatures(items, common)
+                    sigs.append(own)
+                    keys.append(np.full(len(own), key[0], dtype=np.int64))
+                    roles.append(role)
+                if sigs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles))], schema=schema)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows are in order; the last row of a batch waits for the next one
+        last: np.ndarray | None = None
+        told = False  # whether the last row has been given
         for batch in batches:
-            for grp, x, y, rep, k1, k2, n, side, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (grp, x, y) != now:
-                    close()
-                    now = (grp, x, y)
-                members[rep, k1, k2] = (n, side, data)
-            if out:
-                u, v = zip(*out, strict=True)
-                out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-        close()
-        if out:
-            u, v = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    # most groups are two sets, so they are read from sorted rows and not handed over one by one
-    ordered = loaded.select("grp", "x", "y", "rep", "k1", "k2", "n", "side", "sketch").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
-    open_ = ordered.mapInArrow(run, "u long, v long").distinct()
-    open_ = written(open_, "open")
-    # sets of one doc_id share a node: keep it if it has an open pair with itself
-    touched = open_.select(F.explode(F.array("u", "v")).alias("touched")).distinct()
-    clusters = written(components(open_), "clusters")
-    distinct = members.select("k1", "k2", "rep", "n").distinct().join(touched, F.col("rep") == F.col("touched"), "left_semi")
-    named = distinct.join(clusters, F.col("rep") == F.col("node"), "left").select(F.coalesce("component", "rep").alias("grp"), "k1", "k2", "rep", "n")
-    named = written(named, "clustered")
-    sizes = named.groupBy("grp").agg(F.count("*").alias("c"), F.max("n").alias("most"))
-    return written(named.join(sizes, "grp"), "gathered")
-
-
-def sets_of(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """(rep, k1, k2, items): the wanted documents' shingle sets, as bytes; of rows with one doc_id, those of the wanted set.
+            if not batch.num_rows:
+                continue
+            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
+            if last is not None:
+                rows = np.concatenate([last, rows], axis=1)
+            new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+            rows = rows[:, new]
+            start = np.append(True, rows[0, 1:] != rows[0, :-1])
+            end = np.append(start[1:], True)
+            kept = ~(start & end)
+            waits, last = kept[-1], rows[:, -1:]
+            if told and rows.shape[1]:
+                kept[0] = False
+            if rows.shape[1] == 1:
+                waits = told
+            told = bool(waits)
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0, kept]), pa.array(rows[1, kept]), pa.array(rows[2, kept].astype(np.int32))], schema=schema)
+
+    spelled = "sig long, k1 long, role int"
+    sent = _texts(documents).select("text").mapInArrow(sign, spelled).repartition("sig").sortWithinPartitions("sig", "k1")
+    return written(sent.mapInArrow(shared, spelled), "shared")
+
+
+def clusters(shared: DataFrame) -> DataFrame:
+    """(node, component) over digests k1: sets that share enough signatures with others, connected by those."""
+    enough = shared.groupBy("k1", "role").agg(F.count("*").alias("n")).where(F.col("n") >= F.shiftright("role", 2)).select("k1", "role")
+    rows = written(shared.join(enough, ["k1", "role"], "left_semi").select("sig", "k1"), "enough")
+    first = rows.groupBy("sig").agg(F.min("k1").alias("v"))
+    edges = rows.join(first, "sig").where(F.col("k1") != F.col("v")).select(F.col("k1").alias("u"), "v").distinct()
+    return components(edges)
+
+
+def sets_of(documents: DataFrame, wanted: DataFrame, rows: int, join: Join) -> DataFrame:
+    """(rep, k1, k2, items): the shingle sets of at most ``rows`` wanted documents, as bytes; of rows with one doc_id, those of the wanted set.
 
     A task gives a set once; other tasks may repeat it if the documents' rows do.
     """
@@ -271,7 +239,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["rep", "k1", "k2", "items"])
 
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = own.join(beside(wanted, wanted.count(), BROADCAST_IDS), F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2")
+    read = own.join(beside(wanted, rows, BROADCAST_IDS), F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2")
     return read.mapInArrow(run, "rep long, k1 long, k2 long, items binary")
 
 
@@ -336,28 +304,67 @@ def linked(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, join: Jo
     return forest
 
 
-def links(documents: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
-    """(u, v): links between representatives that connect all that are linked."""
-    pairs = written(_blocks(groups, 8.0).drop("n"), "pairs")
-    wanted = written(groups.select("rep", "k1", "k2").distinct(), "wanted")
-    loaded = sets_of(documents, wanted, join).join(beside(pairs, pairs.count(), BROADCAST_IDS), ["rep", "k1", "k2"])
+def _compared(rows: DataFrame, by: list[str], join: Join) -> DataFrame:
+    """(u, v): a forest of the links within each group of rows (rep, k1, k2, side, items), or between its two sides."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group.drop_duplicates(["rep", "k1", "k2"])
         found = linked(own["rep"].to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in own["items"]], own["side"].to_numpy(), join)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return loaded.groupBy("grp", "x", "y").applyInPandas(run, "u long, v long").distinct()
+    return rows.groupBy(*by).applyInPandas(run, "u long, v long")
+
+
+def links(documents: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
+    """(u, v): links between representatives that connect all that are linked within a cluster (grp, rep, k1, k2, c, most)."""
+    groups = written(groups.withColumn("block", F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(8), F.floor(F.lit(BLOCK_BYTES // 8) / F.col("most")))).cast("int")), "groups")
+    keys = ["rep", "k1", "k2"]
+    n = groups.count()
+    small = groups.where("c <= block").select("grp", *keys)
+    loaded = sets_of(documents, small.select(*keys), n, join).join(beside(small, n, BROADCAST_IDS), keys)
+    out = _compared(loaded.withColumn("side", F.lit(0)), ["grp"], join)
+    large = groups.where("c > block")
+    if large.isEmpty():
+        return out
+    sets = written(sets_of(documents, large.select(*keys), n, join).dropDuplicates(keys), "sets")
+    own = F.pmod(F.xxhash64("k1", "k2"), F.ceil(F.col("c") / F.col("block"))).cast("int")
+    dealt = written(large.select("grp", *keys, "c", "block", own.alias("x")), "dealt")
+    # every block meets the leaders of its cluster
+    turn = F.xxhash64("k2", "k1")
+    leaders = dealt.groupBy("grp").agg(F.min("c").alias("c"), F.min("block").alias("block"), F.slice(F.sort_array(F.collect_set(F.when(F.pmod(turn, F.ceil(F.col("c") / F.lit(4 * LEADERS))) == 0, F.struct(turn.alias("t"), *keys)))), 1, LEADERS).alias("leader"))
+    every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / F.col("block")).cast("int") - 1)).alias("x")
+    led = leaders.select("grp", "c", "block", F.explode("leader").alias("l")).select("grp", *[F.col(f"l.{k}").alias(k) for k in keys], every, F.lit(1).alias("side"))
+    met = dealt.select("grp", *keys, "x", F.lit(0).alias("side")).unionByName(led)
+    first = written(_compared(met.join(sets, keys), ["grp", "x"], join), "led")
+    joined = written(dealt.join(components(first), F.col("rep") == F.col("node"), "left").select("grp", *keys, "c", "block", F.coalesce("component", "rep").alias("part")), "parts")
+    # what is not in its cluster's largest part is compared with all of the cluster
+    sizes = joined.groupBy("grp", "part").agg(F.count("*").alias("n"), F.min("c").alias("c"))
+    most = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("most_part"), F.max("n").alias("main"), F.min("c").alias("c"))
+    placed = joined.join(most.select("grp", "most_part", "main"), "grp")
+    is_main = F.col("part") == F.col("most_part")
+    rest_blocks = F.ceil((F.col("c") - F.col("main")) / F.col("block")).cast("int")
+    main_blocks = F.ceil(F.col("main") / F.col("block")).cast("int")
+    deal = lambda blocks: F.pmod(F.xxhash64("k1", "k2"), F.greatest(blocks, F.lit(1))).cast("int")
+    own = F.when(is_main, rest_blocks + deal(main_blocks)).otherwise(deal(rest_blocks))
+    others = F.when(is_main, F.when(rest_blocks > 0, F.sequence(F.lit(0), rest_blocks - 1))).otherwise(F.sequence(F.lit(0), rest_blocks + main_blocks - 1))
+    pairs = placed.select("grp", *keys, own.alias("own"), F.explode(others).alias("other"))
+    pairs = pairs.select("grp", *keys, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    second = _compared(pairs.join(sets, keys), ["grp", "x", "y"], join)
+    return out.unionByName(first).unionByName(second)
 
 
 def jaccard_classes(documents: DataFrame, join: Join) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set), component_id."""
-    sigs = written(signed(documents, join), "signed")
-    table = written(sigs.drop("sigs", "sketch"), "digests")
-    sketches = written(sigs.where(F.col("sigs").isNotNull()).select("k1", "k2", "sketch"), "sketches")
+    table = written(digests(documents, join), "digests")
+    common = common_shingles(documents, table.count(), join)
     classes = written(table.where("n_shingles > 0").groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
-    members = shared_signatures(sigs, classes.where("rep is not null").select("k1", "k2", "rep", "n"))
-    found = components(links(documents, gathered(members, sketches, join), join))
+    shared = shared_signatures(documents, join, common)
+    near = clusters(shared)
+    groups = classes.where("rep is not null").join(near, F.col("k1") == F.col("node")).select(F.col("component").alias("grp"), "rep", "k1", "k2", "n")
+    groups = written(groups, "clustered")
+    discard(shared)
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("c"), F.max("n").alias("most"))
+    found = components(links(documents, groups.join(sizes, "grp").drop("n"), join))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", "n", "rep", F.coalesce("component", "rep").alias("component"))
     t, c = table.alias("t"), written(named, "named").alias("c")
     full = t.join(c, (F.col("t.k1") == F.col("c.k1")) & (F.col("t.k2") == F.col("c.k2")) & (F.col("t.n_shingles") == F.col("c.n")), "left")

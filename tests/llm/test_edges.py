@@ -110,6 +110,36 @@ def test_jaccard_large_clusters_are_compared_in_blocks(spark, monkeypatch):
     assert by_id(partenum.jaccard_classes(df, partenum.Join()).select("doc_id", "n_shingles", "component_id")) == classes(rows, partenum.Join())
 
 
+def test_jaccard_large_cluster_that_leaders_dont_connect(spark, monkeypatch):
+    """A chain: every text links with the next few alone."""
+    monkeypatch.setattr(partenum, "BLOCK_ROWS", 4)
+    rows = [(i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 60)), "a") for i in range(0, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for join in (partenum.Join(), partenum.Join(n=3, num=90)):
+        assert by_id(partenum.jaccard_classes(df, join).select("doc_id", "n_shingles", "component_id")) == classes(rows, join)
+
+
+def test_signatures_of_unlike_sets_are_not_shared():
+    """Under 0.1 % of the memberships of random disjoint sets, and every linked pair shares enough of them."""
+    rng, join = np.random.default_rng(1), partenum.Join()
+    sets = [np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(300)]
+    none = np.zeros(0, dtype=np.uint64)
+    owners = Counter(s for items in sets for s in set(join.signatures(items, none)[0].tolist()))
+    assert sum(n for n in owners.values() if n > 1) < 0.001 * sum(owners.values())
+    for size in (1, 2, 5, 9, 30, 200, 1000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            cut = int(rng.integers(0, size // 5 + 1))
+            b = np.unique(np.concatenate([a[cut:], rng.integers(0, 1 << 63, cut // 2).astype(np.uint64)]))
+            if join.den * (both := len(np.intersect1d(a, b))) < join.num * (len(a) + len(b) - both):
+                continue
+            common = np.sort(rng.choice(a, int(rng.integers(0, size + 1)), replace=False))
+            (x, p), (y, q) = join.signatures(a, common), join.signatures(b, common)
+            met = set(x.tolist()) & set(y.tolist())
+            kept = [{s for s in met if Counter(r[np.isin(v, list(met))].tolist())[dict(zip(v.tolist(), r.tolist(), strict=True))[s]] >= dict(zip(v.tolist(), r.tolist(), strict=True))[s] >> 2} for v, r in ((x, p), (y, q))]
+            assert kept[0] & kept[1]
+
+
 def test_one_of_each(docs, none):
     kept = partenum.one_of_each(docs, partenum.Join())
     assert kept.columns == docs.columns
