@@ -11,13 +11,14 @@ files of about ``file_tokens`` tokens under names of its own attempt, so a retri
 leaves earlier files unused. A manifest table names the files that count.
 
 Defined results: null and empty text hold the end id alone; a null doc_id sorts first;
-equal doc_ids stand together, ordered by text; other columns are ignored; an empty table
+equal doc_ids stand together, in order of a hash of the text; other columns are ignored; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -138,20 +139,42 @@ _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 _TEXT: dict[str, ChunkEncoder] = {}
 
 
+#: A run of letters, perhaps after a space: one pre-token, which the model may take without the pre-tokenizer.
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏ"
+
+
+def byte_symbols() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable in Latin-1, else the next of those from U+0100."""
+    printable = [b for b in range(256) if chr(b).isprintable() and b != 0x20]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+
 def text_encoder(tokenizer: str) -> ChunkEncoder:
-    """One encoder per worker process; the tokenizers library encodes each distinct chunk."""
+    """One encoder per worker process; the tokenizers library encodes each distinct chunk, runs of letters by its model alone."""
     if tokenizer not in _TEXT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         library = Tokenizer.from_file(tokenizer)
         library.encode_special_tokens = True
+        model, symbols = library.model, byte_symbols()
+        byte_level = isinstance(library.pre_tokenizer, pre_tokenizers.ByteLevel) and library.normalizer is None
+        run = re.compile(f" ?[{_LETTERS}]+").fullmatch
 
         def encode(chunks: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)]
+            out: dict[str, bytes] = {}
+            rest = []
+            for c in chunks:
+                if byte_level and run(c):
+                    out[c] = array("I", [t.id for t in model.tokenize(c.encode().decode("latin-1").translate(symbols))]).tobytes()
+                else:
+                    rest.append(c)
+            for c, e in zip(rest, library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                out[c] = array("I", e.ids).tobytes()
+            return [out[c] for c in chunks]
 
         # a letter run before a space or ASCII mark (but the apostrophe) is a pre-token of its own
-        letters = f" ?[a-zA-ZÀ-ÖØ-öø-ɏ]+(?=[ !-&(-/:-@\\[-`{{-~\n]|\\Z)"
+        letters = f" ?[{_LETTERS}]+(?=[ !-&(-/:-@\\[-`{{-~\n]|\\Z)"
         _TEXT[tokenizer] = ChunkEncoder(f"{letters}|[{_W}]*[^{_W}]+|[{_W}]+", encode)
     return _TEXT[tokenizer]
 
