@@ -8,8 +8,10 @@ the k-th best score within their own block; then, shard by shard, a query visits
 falling order of bound and stops as soon as the bound lies below its k-th score. Equal bounds
 are visited, since a tie goes to the smaller id.
 
-Work is dealt by (shard of blocks, group of queries): both have a fixed size, so a task's
-memory does not grow with the table, and no row is paired with a row outside such a task.
+Work is dealt by (shard of blocks, group of queries): both have a fixed size over the whole
+table, whatever its partitions, so a task's memory does not grow with the table. A shard's
+extremes are compared with a group's floors first, and only groups with a query whose bound
+for the shard reaches its floor are sent to it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 rows of null id and empty vectors are no queries and no candidates; vectors of different length are not
@@ -106,15 +108,15 @@ def _least(scores: np.ndarray, k: int) -> int:
 
 
 def build_index(vectors: DataFrame, k: int, divisor: int, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """The written index: one row per block with its forward index, extremes and the floors of its own queries."""
-    schema = "shard long, dim int, ids binary, rows binary, high binary, low binary, floors binary"
+    """The written index: one row per block with its forward index, extremes, the floors of its own queries and its shard."""
+    schema = "part long, before long, n long, dim int, ids binary, rows binary, high binary, low binary, floors binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _partition()
-        number, held, count, dim = 0, [], 0, -1
+        before, held, count, dim = 0, [], 0, -1
 
         def cut(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, count, number
+            nonlocal held, count, before
             if not count:
                 return
             ids = np.concatenate([h[0] for h in held])
@@ -127,10 +129,10 @@ def build_index(vectors: DataFrame, k: int, divisor: int, block: int = BLOCK, sh
                 scores = [s[own_ids != own_ids[q]] for s, q in zip(scores, asks.tolist(), strict=True)]
                 floors = np.array([_least(s, k) for s in scores], dtype=np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array([part * 1_000_000 + number // shard_blocks], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": [own_ids.tobytes()], "rows": [packed(own)],
+                    "part": pa.array([part], pa.int64()), "before": pa.array([before], pa.int64()), "n": pa.array([len(own_ids)], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": [own_ids.tobytes()], "rows": [packed(own)],
                     "high": [own.max(axis=0).tobytes()], "low": [own.min(axis=0).tobytes()], "floors": [floors.tobytes()],
                 })
-                at, number = at + block, number + 1
+                at, before = at + block, before + len(own_ids)
             held, count = [(ids[at:], rows[at:])], max(0, count - at)
 
         for batch in batches:
@@ -139,7 +141,6 @@ def build_index(vectors: DataFrame, k: int, divisor: int, block: int = BLOCK, sh
                 if own_dim != dim:
                     yield from cut(True)
                     held, count, dim = [], 0, own_dim
-                    number = -(-number // shard_blocks) * shard_blocks
                 at = np.flatnonzero(dims == own_dim)
                 held.append((np.asarray(batch.column(0))[at], _matrix(batch.column(2).take(pa.array(at)), own_dim)))
                 count += len(at)
@@ -147,7 +148,18 @@ def build_index(vectors: DataFrame, k: int, divisor: int, block: int = BLOCK, sh
         yield from cut(True)
 
     ordered = with_locality(vectors).repartitionByRange("dim", "place", "vec_id").sortWithinPartitions("dim", "place", "vec_id")
-    return written(ordered.mapInArrow(run, schema), "topk-index")
+    return _dealt(written(ordered.mapInArrow(run, schema), "topk-index"), "shard", block * shard_blocks)
+
+
+def _dealt(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """``rows`` (part, before, n) with their number ``name`` when about ``size`` items stand together, counted over all partitions.
+
+    One count for each partition comes to the driver.
+    """
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    starts = np.cumsum([0] + [n for _, n in sizes]).tolist()
+    table = rows.sparkSession.createDataFrame([(part, start) for (part, _), start in zip(sizes, starts, strict=False)], "part long, start long")
+    return rows.join(F.broadcast(table), "part").withColumn(name, F.floor((F.col("start") + F.col("before")) / size)).drop("part", "before", "n", "start")
 
 
 def _partition() -> int:
@@ -160,30 +172,54 @@ def query_groups(index: DataFrame, divisor: int, group: int = GROUP) -> DataFram
     """The written query set, in rows of at most ``group`` queries of one length: grp, dim, ids, rows, floors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = _partition(), 0
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-
-        def cut(dim: int, final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            ids, rows, floors = (np.concatenate([h[i] for h in held[dim]]) for i in range(3))
-            at = 0
-            while len(ids) - at >= group or (final and at < len(ids)):
-                one = slice(at, at + group)
-                yield pa.RecordBatch.from_pydict({"grp": pa.array([part * 1_000_000 + number], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": [ids[one].tobytes()], "rows": [packed(rows[one])], "floors": [floors[one].tobytes()]})
-                at, number = at + group, number + 1
-            held[dim] = [(ids[at:], rows[at:], floors[at:])]
-
+        part, before = _partition(), 0
         for batch in batches:
             for dim, ids, rows, floors in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ids = np.frombuffer(ids, dtype=np.int64)
                 asks = ids % divisor == 0
-                if asks.any():
-                    held.setdefault(dim, []).append((ids[asks], unpacked(rows, dim)[asks], np.frombuffer(floors, dtype=np.int64)))
-                    yield from cut(dim, False)
-        for dim in held:
-            yield from cut(dim, True)
+                n = int(asks.sum())
+                if n:
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "before": pa.array([before], pa.int64()), "n": pa.array([n], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": [ids[asks].tobytes()], "rows": [packed(unpacked(rows, dim)[asks])], "floors": [floors]})
+                    before += n
+
+    found = index.select("dim", "ids", "rows", "floors").mapInArrow(run, "part long, before long, n long, dim int, ids binary, rows binary, floors binary")
+    return _dealt(written(found, "topk-queries"), "grp", group)
+
 
-    return written(index.select("dim", "ids", "rows", "floors").mapInArrow(run, "grp long, dim int, ids binary, rows binary, floors binary"), "topk-queries")
+def _bounds(rows: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The most that each query's product with any vector between ``low`` and ``high`` can be."""
+    return products(np.maximum(rows, 0), high) + products(np.minimum(rows, 0), low)
+
+
+def meetings(groups: DataFrame, index: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(g, s): groups and shards such that a query's bound for one of the shard's blocks reaches its floor.
+
+    What meets here are a group's queries and two vectors for each block, ``chunk`` shards at a time.
+    """
+    def extremes(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        high, low = (np.stack([np.frombuffer(b, dtype=np.int64) for b in blocks[c]]) for c in ("high", "low"))
+        return pd.DataFrame({"s": [key[0]], "dim": [key[1]], "high": [high.max(axis=0).tobytes()], "low": [low.min(axis=0).tobytes()]})
+
+    ends = index.select("shard", "dim", "high", "low").groupBy("shard", "dim").applyInPandas(extremes, "s long, dim int, high binary, low binary")
+    ends = written(ends, "topk-extremes")
+    last = ends.agg(F.max("s")).first()[0], groups.agg(F.max("grp")).first()[0]
+    if None in last:
+        return groups.sparkSession.createDataFrame([], "g long, s long")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias(name)
+    asked = groups.select(F.col("grp").alias("g"), every(last[0] // chunk, "c"), "dim", "rows", "floors")
+    own = ends.select(every(last[1], "g"), F.floor(F.col("s") / chunk).alias("c"), "s", "dim", "high", "low")
+
+    def run(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
+        out = set()
+        for dim, rows, floors in zip(queries["dim"], queries["rows"], queries["floors"], strict=True):
+            same = shards[shards["dim"] == dim]
+            if len(same):
+                high, low = (np.stack([np.frombuffer(b, dtype=np.int64) for b in same[c]]) for c in ("high", "low"))
+                reached = (_bounds(unpacked(rows, int(dim)), high, low) >= np.frombuffer(floors, dtype=np.int64)[:, None]).any(axis=0)
+                out.update(same["s"][reached].tolist())
+        return pd.DataFrame({"g": [queries["g"].iloc[0] for _ in out], "s": sorted(out)}, dtype="int64")
+
+    return asked.groupBy("g", "c").cogroup(own.groupBy("g", "c")).applyInPandas(run, "g long, s long")
 
 
 def search_shard(asked: pd.DataFrame, blocks: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -200,8 +236,7 @@ def search_shard(asked: pd.DataFrame, blocks: pd.DataFrame, k: int) -> pd.DataFr
         high = np.array([np.frombuffer(blocks["high"].iloc[i], dtype=np.int64) for i in same]).reshape(len(same), dim)
         low = np.array([np.frombuffer(blocks["low"].iloc[i], dtype=np.int64) for i in same]).reshape(len(same), dim)
         forward = [unpacked(blocks["rows"].iloc[i], dim) for i in same]
-        plus, minus = np.maximum(rows, 0), np.minimum(rows, 0)
-        bounds = products(plus, high) + products(minus, low)
+        bounds = _bounds(rows, high, low)
         order = np.argsort(-bounds, axis=1, kind="stable")
         kth = floors.copy()
         best_scores = [np.zeros(0, dtype=np.int64)] * len(ids)
@@ -233,23 +268,13 @@ def search_shard(asked: pd.DataFrame, blocks: pd.DataFrame, k: int) -> pd.DataFr
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate([o[i] for o in out]) for i in range(3)), strict=True)))
 
 
-def _numbered(ids: DataFrame, name: str) -> DataFrame:
-    """The distinct ids of shards or groups (one for thousands of vectors) with numbers from 0."""
-    return written(ids.select(name, (F.row_number().over(Window.orderBy(name)) - 1).alias("number")), "topk-numbers")
-
-
 def search(embeddings: DataFrame, k: int = 20, divisor: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row whose id is divisible by ``divisor``."""
     index = build_index(quantised(embeddings), k, divisor)
     groups = query_groups(index, divisor)
-    shards = _numbered(index.select("shard").distinct(), "shard")
-    numbered = _numbered(groups.select("grp").distinct(), "grp")
-    n_shards, n_groups = shards.count(), numbered.count()
-    if not n_shards or not n_groups:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # every group of the query set meets every shard, one task's worth for each pair
-    asked = groups.join(numbered, "grp").select(F.col("number").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("s"), "dim", "ids", "rows", "floors")
-    blocks = index.join(shards, "shard").select(F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g"), F.col("number").alias("s"), "dim", "ids", "rows", "high", "low")
+    pairs = written(meetings(groups, index), "topk-pairs")
+    asked = groups.join(pairs, F.col("grp") == F.col("g")).select("g", "s", "dim", "ids", "rows", "floors")
+    blocks = index.join(pairs, F.col("shard") == F.col("s")).select(F.col("g").alias("g"), F.col("s").alias("s"), "dim", "ids", "rows", "high", "low")
     found = asked.groupBy("g", "s").cogroup(blocks.groupBy("g", "s")).applyInPandas(lambda a, b: search_shard(a, b, k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
