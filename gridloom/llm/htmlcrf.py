@@ -5,8 +5,8 @@ elements. Each block gets features of its ancestors (tags, words of class and id
 text (length, link share, punctuation, marks). A two-label chain (main text or not) is
 trained by maximum likelihood on labelled pages and decoded by Viterbi; the blocks labelled
 main text are joined by blank lines. Labelled pages come from ``labelled_pages``, a
-generator of varied layouts whose seed and number (``TRAINING_PAGES``) are parameters;
-other labelled pages can be passed to ``train``.
+generator of families of layouts (``LAYOUTS``) whose seed and number (``TRAINING_PAGES``) are
+parameters; other labelled pages can be passed to ``train``.
 
 Comments, scripts, styles and other raw elements are no text. Defined results: null or empty
 html, and pages without main text, give the empty string; unclosed tags, stray ends and cut
@@ -36,11 +36,14 @@ _BLOCK = frozenset(
     "html head title body p div article section main nav header footer aside ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table caption thead tbody tfoot tr td th form fieldset legend blockquote pre figure figcaption address details summary hr select option optgroup menu dialog center".split()
 )
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
-_RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math", "canvas")
+#: Elements whose content is no text; those of ``_SCRIPTED`` run to the end of the page if unclosed, others count as empty then.
+_SCRIPTED = frozenset(("script", "style", "textarea", "iframe", "noembed", "noframes", "xmp"))
+_DRAWN = frozenset(("svg", "template"))
 #: Opening one of these ends an open element of its group.
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"p", "html", "head", "body", "title"}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(_RAW)})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _INLINE_ROLES = frozenset(("a", "b", "strong", "em", "i", "button", "label", "small", "span", "code", "time"))
@@ -105,28 +108,71 @@ class _Scan:
                 return
 
 
+class _Tags:
+    """Tags of a page in one pass: nothing that was searched for and not found is searched for again."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in ">\"'"}
+        self.absent: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag begun before ``at``, -1 if the page is cut inside it; one in a quoted value doesn't count."""
+        while (m := _STOP.search(self.page, at)) is not None:
+            quote = m[1]
+            if quote is None:
+                return m.start()
+            at = m.end()
+            if self.last[quote] >= at:
+                at = self.page.find(quote, at) + 1
+        return -1
+
+    def after(self, name: str, at: int) -> int:
+        """Where the content of a raw element ends: behind its end tag, -1 if there is none."""
+        if name in self.absent:
+            return -1
+        m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, at)
+        if m is None:
+            self.absent.add(name)
+            return -1
+        end = self.page.find(">", m.end())
+        return end + 1 if end >= 0 else len(self.page)
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, white space collapsed and references decoded."""
-    scan, at = _Scan(), 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            scan.text(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and scan.parts:
-                scan.parts.append(" ")
+    """Leaf blocks of a page in order, white space collapsed and references decoded; the work grows with the page's length."""
+    scan, tags, at, size = _Scan(), _Tags(page), 0, len(page)
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
+            scan.text(page[at:])
+            break
+        name = _NAME.match(page, begin + 1)
+        if name is None and page[begin + 1 : begin + 2] not in ("!", "?", "/"):
+            scan.text(page[at : begin + 1])  # no tag: text
+            at = begin + 1
             continue
-        tag = tag.lower()
-        if m[2]:
-            scan.close(tag)
+        if begin > at:
+            scan.text(page[at:begin])
+        if name is None:
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->" if comment else ">", begin + 2) if tags.last[">"] > begin else -1
+            at = size if end < 0 else end + (3 if comment else 1)
+            continue
+        end = tags.end(name.end()) if tags.last[">"] > begin else -1
+        if end < 0:
+            break  # the page is cut inside a tag
+        at, tag, rest = end + 1, name[0].lower(), page[name.end() : end]
+        if tag[0] == "/":
+            scan.close(tag[1:])
         elif tag == "br":
             scan.parts.append(" ")
+        elif tag in _SCRIPTED or tag in _DRAWN:
+            behind = at if tag in _DRAWN and rest.endswith("/") else tags.after(tag, at)
+            at = behind if behind >= 0 else at if tag in _DRAWN else size
+            if scan.parts:
+                scan.parts.append(" ")
         else:
-            scan.open(tag, m[4])
-    rest = page[at:]
-    if rest:
-        scan.text(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", rest) else rest)
+            scan.open(tag, rest)
     scan.flush()
     return scan.blocks
 
@@ -262,11 +308,10 @@ def main_text(model: Model, page: str | None) -> str:
 # ---- labelled pages ------------------------------------------------------------------
 
 _SYLLABLES = "an be ci do el fa gu hi in jo ka le mu no or pa qui ra se tu un ve wo xi ya zu th er on at ing ed é ü ñ".split()
-_MARKS = ("", "!!", "###", "%%%", "***", "&&&", "$$$", " |")
 
 
 def _words(rng: random.Random, low: int, high: int) -> str:
-    mark = rng.choice(_MARKS[1:]) if rng.random() < 0.05 else ""
+    mark = rng.choice(("!", "!!!", "#", "*", "$", "%", "&amp;")) if rng.random() < 0.05 else ""
     out = []
     for _ in range(rng.randint(low, high)):
         word = "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4)))
@@ -275,84 +320,121 @@ def _words(rng: random.Random, low: int, high: int) -> str:
     return (text.upper() if rng.random() < 0.03 else text[0].upper() + text[1:]) + rng.choice((".", ".", ".", "", "!", "?"))
 
 
-def _wrap(rng: random.Random, tags: Sequence[str], names: Sequence[str], inner: str) -> str:
-    name = rng.choice(names) if names and rng.random() < 0.8 else ""
-    tag = rng.choice(tags) if name else tags[0]
-    return f"<{tag}{f' {rng.choice(('class', 'class', 'id'))}=\"{name}\"' if name else ''}>{inner}</{tag}>"
+@dataclass(frozen=True)
+class Layout:
+    """Tags and names that a family of sites uses for the parts of a page."""
 
+    name: str
+    shells: tuple[str, ...]
+    parts: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]
+    sloppy: float = 0.1  # share of end tags left out
 
-def _links(rng: random.Random, low: int, high: int) -> str:
-    items = [f'<a href="/{i}">{_words(rng, 1, 4).rstrip(".!?")}</a>' for i in range(rng.randint(low, high))]
-    return rng.choice((lambda: "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", lambda: " | ".join(items), lambda: "".join(f"<p>{i}</p>" for i in items)))()
 
-
-def _noise(rng: random.Random, kind: str) -> str:
-    text = lambda a, b: f"<p>{_words(rng, a, b)}</p>" if rng.random() < 0.5 else _words(rng, a, b)
-    if kind == "menu":
-        return _wrap(rng, ("nav", "div", "ul"), ("menu", "navbar", "nav", "main-menu", "breadcrumbs"), _links(rng, 2, 9))
-    if kind == "header":
-        return _wrap(rng, ("header", "div"), ("header", "site-header", "masthead", "top-bar"), text(1, 8) + (_links(rng, 1, 5) if rng.random() < 0.5 else ""))
-    if kind == "footer":
-        return _wrap(rng, ("footer", "div"), ("footer", "site-footer", "copyright", "legal"), rng.choice(("&copy; ", "&copy; site.example &middot; ", "")) + text(2, 25))
-    if kind == "side":
-        return _wrap(rng, ("aside", "div", "section"), ("sidebar", "side", "widget", "related", "related-posts", "recommended"), f"<h3>{_words(rng, 1, 4)}</h3>" + (_links(rng, 2, 6) if rng.random() < 0.6 else text(4, 40)))
-    if kind == "ad":
-        return _wrap(rng, ("div", "aside", "section", "div"), ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner"), text(3, 30)) if rng.random() < 0.9 else f'<div class="ad">{_words(rng, 3, 30)}</div>'
-    if kind == "notice":
-        return _wrap(rng, ("div", "section", "aside"), ("cookie-notice", "notice", "alert", "consent", "notification", "popup"), text(4, 35))
-    if kind == "form":
-        return _wrap(rng, ("form",), ("subscribe", "newsletter", "search", "login", "signup"), f"<label>{_words(rng, 1, 5)}</label><input><button>{_words(rng, 1, 2)}</button>" + (text(3, 20) if rng.random() < 0.5 else ""))
-    if kind == "comments":
-        each = "".join(_wrap(rng, ("div", "li"), ("comment", "reply", "comment-body"), f"<p>{_words(rng, 3, 60)}</p>") for _ in range(rng.randint(1, 5)))
-        return f'<{(t := rng.choice(("div", "section", "ol")))} class="{rng.choice(("comments", "comment-list", "discussion", "responses comments"))}"><h2>{_words(rng, 1, 3)}</h2>{each}</{t}>'
-    return _wrap(rng, ("div", "p", "ul"), ("share", "social", "meta", "tags", "byline", "pagination"), _links(rng, 1, 5))
+def _layout(name: str, shells: str, sloppy: float, **parts: str) -> Layout:
+    split = {kind: (tuple(tags.split()), tuple(names.split())) for kind, (tags, names) in ((k, v.split(":")) for k, v in parts.items())}
+    return Layout(name, tuple(shells.split("|")), split, sloppy)
 
 
+LAYOUTS = (
+    _layout("journal", '<main><article>|<article class="post">|<article>', 0.05, menu="nav ul:site-nav menu", header="header:masthead site-header", footer="footer:site-footer colophon", side="aside:sidebar related-posts", ad="div aside:advert sponsor", notice="div:cookie-banner notice", form="form:newsletter search-form", comments="section:comments comment-list", share="div ul:share-links post-meta"),
+    _layout("newspaper", '<div id="story-body">|<section class="article-content">|<article>', 0.1, menu="div nav:navbar breadcrumbs", header="div header:top-bar page-header", footer="div footer:legal footer", side="div aside:widget most-read recommended", ad="div section:ad ads promo banner", notice="div section:alert consent", form="form div:subscribe login", comments="div ol:comments discussion", share="p div:byline social tags"),
+    _layout("handbook", '<main>|<div class="content">|<div id="main-content">', 0.05, menu="nav div:toc-menu nav breadcrumb", header="header:header topbar", footer="footer:footer page-foot", side="nav aside:side sidebar", ad="div:sponsored", notice="div aside:alert notification", form="form:search feedback", comments="section div:feedback-comments discussion", share="div:pagination page-tags"),
+    _layout("bare", "<article>|<main>|<div>", 0.25, menu="nav ul:", header="header:", footer="footer:", side="aside:", ad="aside:ad", notice="aside:notice", form="form:", comments="section:comments", share="nav:"),
+    _layout("legacy", '<td class="text">|<div class="maintext">|<div id="content">', 0.35, menu="div td:menu leftnav", header="div center:head header", footer="div center:bottom footer copyright", side="td div:right side", ad="div center:banner adbox ad", notice="div p:notice", form="form:search", comments="div ul:guestbook-comments replies", share="p div:links share"),
+    _layout("magazine", '<div class="entry-content">|<section class="story"><div class="body">|<article id="article">', 0.1, menu="ul nav:main-menu mega-nav", header="div section:hero-header header", footer="section div:footer-bottom legal-links", side="section div:you-may-like related widget", ad="section div:ad-slot advertisement", notice="div dialog:popup modal-consent", form="div form:signup newsletter-form", comments="div section:responses comments", share="ul div:social-share author-meta"),
+)
 _KINDS = ("menu", "header", "footer", "side", "ad", "notice", "form", "comments", "share")
 
 
-def _paragraph(rng: random.Random) -> str:
-    text = _words(rng, 1, 8) if rng.random() < 0.2 else _words(rng, 5, 120)
-    if rng.random() < 0.15:
-        at = text.find(" ", len(text) // 2)
-        if at > 0:
-            text = f'{text[:at]} <a href="/x">{text[at + 1 : at + 20]}</a>{text[at + 20 :]}'
+def _element(rng: random.Random, layout: Layout, kind: str, inner: str) -> str:
+    tags, names = layout.parts[kind]
+    tag, name = rng.choice(tags), rng.choice(names) if names and rng.random() < 0.85 else ""
+    if not name:
+        tag = tags[0]
+    return f"<{tag}{f' {rng.choice(("class", "class", "class", "id"))}={chr(34)}{name}{chr(34)}' if name else ''}>{inner}</{tag}>"
+
+
+def _end(rng: random.Random, layout: Layout, tag: str) -> str:
+    return "" if rng.random() < layout.sloppy else f"</{tag}>"
+
+
+def _links(rng: random.Random, low: int, high: int) -> str:
+    items = [f'<a href="/{i}">{_words(rng, 1, 4).rstrip(".!?")}</a>' for i in range(rng.randint(low, high))]
+    return rng.choice((lambda: "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", lambda: rng.choice((" | ", " ", " / ")).join(items), lambda: "".join(f"<p>{i}</p>" for i in items)))()
+
+
+def _noise(rng: random.Random, layout: Layout, kind: str) -> str:
+    text = lambda a, b: f"<p>{_words(rng, a, b)}</p>" if rng.random() < 0.5 else _words(rng, a, b)
+    if kind in ("menu", "share"):
+        inner = _links(rng, 1 if kind == "share" else 2, 9 if kind == "menu" else 5)
+    elif kind == "header":
+        inner = text(1, 8) + (_links(rng, 1, 5) if rng.random() < 0.5 else "")
+    elif kind == "footer":
+        inner = rng.choice(("&copy; ", "© 2020 ", "&#169; ", "", "")) + text(2, 25) + (_links(rng, 1, 4) if rng.random() < 0.3 else "")
+    elif kind == "side":
+        inner = f"<h3>{_words(rng, 1, 4)}</h3>" * (rng.random() < 0.7) + (_links(rng, 2, 6) if rng.random() < 0.6 else text(4, 40))
+    elif kind == "form":
+        inner = f"<label>{_words(rng, 1, 5)}</label><input><button>{_words(rng, 1, 2)}</button>" + (text(3, 20) if rng.random() < 0.5 else "")
+    elif kind == "comments":
+        inner = f"<h2>{_words(rng, 1, 3)}</h2>" * (rng.random() < 0.6) + "".join(f'<{(t := rng.choice(("div", "li", "p")))}{rng.choice((" class={0}comment{0}".format(chr(34)), ""))}>{_words(rng, 3, 60)}</{t}>' for _ in range(rng.randint(1, 5)))
+    else:
+        inner = text(3, 35)
+    return _element(rng, layout, kind, inner)
+
+
+def _inline(rng: random.Random, layout: Layout, text: str) -> str:
+    """``text`` with a link, emphasis (whose end tag may be missing) or line breaks in it."""
+    words = text.split(" ")
+    if len(words) > 3 and rng.random() < 0.3:
+        at = rng.randrange(len(words) - 2)
+        words[at] = f'<a href="/x">{words[at]}</a>'
+    if len(words) > 3 and rng.random() < 0.3:
+        tag, at = rng.choice(("em", "strong", "i", "b", "span")), rng.randrange(len(words) - 2)
+        words[at] = f"<{tag}>{words[at]}"
+        words[at + 1] += _end(rng, layout, tag)
+    for _ in range(rng.choice((0, 0, 0, 1, 2))):
+        words[rng.randrange(len(words))] += rng.choice(("<br>", "<br/>"))
+    return " ".join(words)
+
+
+def _paragraph(rng: random.Random, layout: Layout) -> str:
+    text = _inline(rng, layout, _words(rng, 1, 8) if rng.random() < 0.2 else _words(rng, 5, 120))
     r = rng.random()
-    if r < 0.05:
-        return f"<h{(n := rng.randint(2, 4))}>{_words(rng, 1, 8)}</h{n}><p>{text}</p>"
-    if r < 0.09:
-        return "<ul>" + "".join(f"<li>{_words(rng, 3, 25)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
-    if r < 0.12:
+    if r < 0.06:
+        return f"<h{(n := rng.randint(2, 4))}>{_words(rng, 1, 8)}</h{n}><p>{text}{_end(rng, layout, 'p')}"
+    if r < 0.1:
+        return "<ul>" + "".join(f"<li>{_words(rng, 3, 25)}{_end(rng, layout, 'li')}" for _ in range(rng.randint(2, 5))) + "</ul>"
+    if r < 0.13:
         return f"<blockquote><p>{text}</p></blockquote>"
-    if r < 0.14:
+    if r < 0.15:
         return f"<table><tr><td>{_words(rng, 1, 6)}</td><td>{_words(rng, 1, 6)}</td></tr></table>"
-    if r < 0.16:
+    if r < 0.17:
         return f"<pre>{text}</pre>"
-    if r < 0.3:
-        return f"<p><b>{text}<br>"
-    return f"<p>{text}</p>" if r < 0.9 else f"<p>{text}"
+    return f"<p>{text}{_end(rng, layout, 'p')}"
 
 
-def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[str, list[Block]]]:
-    """(html, labelled blocks) of generated pages; main text is told by a hidden mark before each part."""
+def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED, layouts: Sequence[Layout] = LAYOUTS) -> Iterator[tuple[str, list[Block]]]:
+    """(html, labelled blocks) of generated pages of the given layouts; main text is told by a hidden mark before each part."""
     rng = random.Random(seed)
     for _ in range(count):
-        page: list[tuple[int, str]] = [(0, f"<!DOCTYPE html><html><head><title>{_words(rng, 2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>")]
-        for kind in ("header", "menu", "notice", "ad", "form", "share"):
-            if rng.random() < 0.45:
-                page.append((0, _noise(rng, kind)))
-        shell = rng.choice(('<article>', '<article>', '<article>', '<article class="post">', "<main>", "<main><article>", '<div class="content">', '<div id="main-content">', '<div class="article-body">', '<section class="story">', '<div class="entry-content">', '<div class="post-text">'))
+        own = rng.choice(layouts)
+        head = "".join(part for part in ("<meta charset=utf-8>", "<style>.a > .b { top: 0 }</style>", "<script>if (1 < 2) { run('x') }</script>") if rng.random() < 0.5)
+        page: list[tuple[int, str]] = [(0, f"<html><head><title>{_words(rng, 2, 9)}</title>{head}</head><body>")]
+        for kind in ("header", "menu", "notice", "ad", "form", "share", "side"):
+            if rng.random() < 0.4:
+                page.append((0, _noise(rng, own, kind)))
+        shell = rng.choice(own.shells)
         page.append((1, shell + (f"<h1>{_words(rng, 2, 14)}</h1>" if rng.random() < 0.8 else "")))
         for i in range(rng.randint(1, 14)):
-            page.append((1, _paragraph(rng)))
-            if i and rng.random() < 0.06:
-                page.append((0, "</b></p>" + _noise(rng, rng.choice(("ad", "side", "share", "form", "notice")))))
+            page.append((1, _paragraph(rng, own)))
+            if i and rng.random() < 0.08:
+                page.append((0, "</p>" + _noise(rng, own, rng.choice(("ad", "side", "share", "form", "notice")))))
         if rng.random() < 0.12:
-            page.append((0, "</b></p>" + _noise(rng, rng.choice(("comments", "share", "side", "footer")))))
+            page.append((0, "</p>" + _noise(rng, own, rng.choice(("comments", "share", "side", "footer")))))
         page.append((0, "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", shell)))))
         for kind in ("comments", "side", "ad", "form", "menu", "footer"):
             if rng.random() < (0.8 if kind == "footer" else 0.3):
-                page.append((0, _noise(rng, kind)))
+                page.append((0, _noise(rng, own, kind)))
         whole = "".join(p for _, p in page) + "</body></html>"
         marked = "".join(re.sub(r">(?=[^<\s])", lambda m, label=label: f">\x02{label}", p) for label, p in page)
         blocks = leaf_blocks(marked)
