@@ -130,9 +130,9 @@ def beside_next(documents: DataFrame, parts: int) -> DataFrame:
 
 
 def compare_edited(documents: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and the fingerprint's positions of every document."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -141,20 +141,20 @@ def compare_edited(documents: DataFrame, gram: int = GRAM, window: int = WINDOW)
                 batch = whole.slice(at, 256)
                 out = []
                 for part, doc_id, text, last in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    hashes = winnow(text, gram, window)[0]
+                    hashes, places = winnow(text, gram, window)
                     distinct = np.unique(hashes)
                     if held is not None and held[0] == part:
-                        _, own_id, own, own_hashes, own_distinct = held
+                        _, own_id, own, own_hashes, own_places, own_distinct = held
                         half = len(own) // 2
                         edited = own[: len(own) - half] + text[:half]
                         edited_hashes = own_hashes if edited == own else winnow(edited, gram, window)[0]
                         digest = hashlib.sha256(edited.encode()).hexdigest()
-                        out.append((own_id, len(own), digest, as_text(own_hashes), as_text(edited_hashes), likeness(own_distinct, np.unique(edited_hashes)), likeness(own_distinct, distinct)))
-                    held = None if last else (part, doc_id, text, hashes, distinct)
+                        out.append((own_id, len(own), digest, as_text(own_hashes), as_text(edited_hashes), likeness(own_distinct, np.unique(edited_hashes)), likeness(own_distinct, distinct), own_places))
+                    held = None if last else (part, doc_id, text, hashes, places, distinct)
                 if out:
                     columns = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions"])
 
     return beside_next(documents, parts).mapInArrow(run, schema)
 

@@ -299,6 +299,26 @@ def test_fingerprints(docs, none):
     assert winnowing.fingerprints(docs).count() == len(TEXTS)
 
 
+def test_likeness_of_fingerprints(spark):
+    """Positions hold the hashes that the fingerprint tells, and likenesses are shared shares of the sets of hashes."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcd e"), int(rng.integers(0, 400)))) for _ in range(30)]
+    rows = winnowing.compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    hashes = lambda text: [int(text[i : i + 8], 16) for i in range(0, len(text), 8)]
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    prints = {r["doc_id"]: hashes(r["fingerprint"]) for r in rows}
+    for r in rows:
+        text, after = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        half = len(text) // 2
+        edited = winnowing.winnow(text[: len(text) - half] + after[:half])[0].tolist()
+        own, grams = prints[r["doc_id"]], min(winnowing.GRAM, len(text))
+        assert hashes(r["edited_fingerprint"]) == edited and len(own) == len(r["positions"])
+        for h, at in zip(own, r["positions"], strict=True):
+            assert winnowing.gram_hashes(np.frombuffer(text[at : at + grams].encode("utf-32-le"), "<u4"), grams).tolist() == [h]
+        assert r["near_edited"] == pytest.approx(share(set(own), set(edited)))
+        assert r["near_next"] == pytest.approx(share(set(own), set(prints[(r["doc_id"] + 1) % len(texts)])))
+
+
 def test_winnowing_against_brute_force():
     rng = np.random.default_rng(3)
     for n in (1, 5, 16, 17, 40, 200):
