@@ -128,11 +128,13 @@ def clip(df: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> D
     return cut.where((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")))
 
 
-def blocks(df: DataFrame, key: str, cell: float = CELL) -> DataFrame:
-    """(key, block): boxes that touch or meet share a block, named by its least key."""
+def blocks(df: DataFrame, key: str, cell: float = CELL, same: str | None = None) -> DataFrame:
+    """(key, block): boxes that touch or meet (and are equal in ``same``) share a block, named by its least key."""
     from gridloom.operators.graph import components
 
     pairs = spatial_join(df, df, cell).where(F.col(f"l_{key}") < F.col(f"r_{key}"))
+    if same is not None:
+        pairs = pairs.where(F.col(f"l_{same}") == F.col(f"r_{same}"))
     joined = components(pairs.select(F.col(f"l_{key}").cast("long").alias("u"), F.col(f"r_{key}").cast("long").alias("v")))
     return df.select(key).join(joined, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("block"))
 
@@ -148,3 +150,18 @@ def iou_pairs(left: DataFrame, right: DataFrame, least: float = 0.5, cell: float
     """Joined pairs whose intersection over union is at least ``least``, with it as ``iou``."""
     inter = overlap_area("l_", "r_")
     return spatial_join(left, right, cell).withColumn("iou", inter / (area("l_") + area("r_") - inter)).where(F.col("iou") >= least)
+
+
+def sample_windows(buildings: DataFrame, size: float, detached: Column, middle: float) -> DataFrame:
+    """(sample, kx, ky): the cells of largest built area, of its 80th percentile by rank, of most detached houses, and the first one north of ``middle`` with over 3,000.
+
+    ``buildings`` has x, y and area. The windows run over one row for each cell.
+    """
+    cell = lambda c, name: F.floor(F.col(c) / size).cast("int").alias(name)
+    cells = buildings.groupBy(cell("x", "kx"), cell("y", "ky")).agg(F.sum("area").alias("area"), F.count_if(detached).alias("detached"))
+    by_area, every = Window.orderBy("area", "kx", "ky"), Window.partitionBy(F.lit(1))
+    r = cells.withColumns({"a": F.row_number().over(by_area), "m": F.count("*").over(every), "h": F.row_number().over(Window.orderBy(F.col("detached").desc(), "kx", "ky"))})
+    pick = lambda name, rows: rows.select(F.lit(name).alias("sample"), "kx", "ky")
+    rural = r.where((F.col("ky") * size >= middle) & (F.col("area") > 3000)).agg(F.min_by(F.struct("kx", "ky"), "a").alias("k")).where("k is not null").select("k.*")
+    named = pick("densest", r.where("a = m")).unionByName(pick("suburban", r.where(F.col("a") == F.floor(F.col("m") * 0.8) + 1)))
+    return named.unionByName(pick("detached", r.where("h = 1"))).unionByName(pick("rural", rural))

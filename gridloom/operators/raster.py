@@ -128,5 +128,13 @@ def ndvi(nir: Column, red: Column) -> Column:
     return F.try_divide(nir - red, nir + red)
 
 
+MIN_CLEAR = 0.6
+
+
+def clear_scenes(obs: DataFrame, classes: Sequence[int], least: float = MIN_CLEAR) -> DataFrame:
+    """(scene, clear): scenes whose share of clear observations is at least ``least``."""
+    return obs.groupBy("scene").agg(F.avg(F.col("scl").isin(*classes).cast("double")).alias("clear")).where(F.col("clear") >= least)
+
+
 def map_x(c: Column, origin: float, resolution: float) -> Column:
     return F.lit(origin) + (c + 0.5) * resolution

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 MIN_HEIGHT, MIN_AREA = 3.5, 30.0
 EXCLUDED = {"Domestic Outbuilding": float("inf"), "Unknown Building": 50.0, "Electricity Sub Station": float("inf")}
 CLASSES = {
-    "Detached House": "detached",
-    "Semi-Detached House": "terraced / semi",
-    "Commercial Building": "commercial / mixed",
-    "Domestic Outbuilding": "outbuilding / unknown",
-    "Unknown Building": "outbuilding / unknown",
-    "Electricity Sub Station": "small utility",
+    "terraced/semi house": ("Mid-Terrace House", "End-Of-Terrace House", "Semi-Detached House"),
+    "detached house": ("Detached House",),
+    "flats/other residential": ("Multiple Residential Accommodation", "Residential Building", "Static Caravan Or Mobile Home", "Temporary Or Holiday Accommodation Building"),
+    "outbuilding/unknown": ("Domestic Outbuilding", "Unknown Building", "Ancillary Building"),
+    "commercial/mixed use": ("Commercial Building", "Mixed Use Building"),
+    "small utility": ("Electricity Sub Station", "Gas Governor", "Pumping Station", "Utility Building", "Waste Water Treatment Works", "Water Distribution Facility", "Electricity Distribution Facility"),
 }
-OTHER = "public / other"
-BANDS = ((30.0, "30-50"), (50.0, "50-200"), (200.0, "200-1000"), (1000.0, "1000+"))
+OTHER = "public/other"
+BANDS = ((30.0, "30-50"), (50.0, "50-200"), (200.0, "200-1000"), (1000.0, ">1000"))
 
 
 def split(truth: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def split(truth: DataFrame) -> DataFrame:
 
 
 def with_class(truth: DataFrame) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for name, types in CLASSES.items() for kind in types for x in (kind, name)])
     return truth.withColumn("class", F.coalesce(F.try_element_at(names, F.col("description")), F.lit(OTHER)))
 
 
@@ -43,6 +43,10 @@ def size_band(area: Column) -> Column:
 
 
 def status() -> Column:
-    """Readable reason of a split row's status."""
+    """Readable reason of a split row's status: its type's limit first, then its height."""
     h = F.col("height_relativemax_m")
-    return F.when(F.col("keep"), "scored").when(h.isNull(), "ignored: no height").when(h < MIN_HEIGHT, "ignored: low").when(F.col("area") < MIN_AREA, "ignored: small").otherwise(F.concat(F.lit("ignored: "), F.col("description")))
+    limits = F.create_map(*[F.lit(x) for kind, least in EXCLUDED.items() for x in (kind, f"{least:g}")])
+    areas = F.create_map(*[x for kind, least in EXCLUDED.items() for x in (F.lit(kind), F.lit(least))])
+    limited = F.col("area") < F.try_element_at(areas, F.col("description"))
+    too_low = F.concat(F.lit("ignored (OS height "), h.cast("string"), F.lit(f" m < {MIN_HEIGHT} m)"))
+    return F.when(limited, F.concat(F.lit("ignored (excluded type under "), F.try_element_at(limits, F.col("description")), F.lit(" m2)"))).when(h.isNull(), "ignored (no OS height)").when(h < MIN_HEIGHT, too_low).otherwise("scored")

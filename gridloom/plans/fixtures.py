@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = {"px": ("orders", "part"), "obs": ("lineitem",), "gt": ("part",), "pred": ("customer",), "segs": ("supplier",), "cand": ("embeddings",)}
+TABLES = {"px": ("orders", "part"), "obs": ("lineitem",), "gt": ("part",), "pred": ("customer",), "moved": ("customer",), "segs": ("supplier",), "cand": ("embeddings",)}
 
 SQL = {
     "px": """
@@ -36,6 +36,12 @@ SELECT c_custkey AS pid, lower(c_mktsegment) AS dataset, CAST(25 * (c_custkey %
        CAST(25 * floor((c_custkey % 2000) / 40) + (c_custkey * 5) % 5 - 2 AS DOUBLE) AS miny, CAST(25 * (c_custkey % 40) + (c_custkey * 3) % 7 + 5 + c_nationkey % 20 AS DOUBLE) AS maxx,
        CAST(25 * floor((c_custkey % 2000) / 40) + 4 + (c_custkey * 7) % 20 AS DOUBLE) AS maxy
 FROM customer""",
+    "moved": """
+SELECT pid, dataset, minx + d AS minx, miny + d AS miny, maxx + d AS maxx, maxy + d AS maxy
+FROM (SELECT *, CASE WHEN pid % 7 = 0 THEN 13 ELSE 0 END AS d FROM (SELECT c_custkey AS pid, lower(c_mktsegment) AS dataset, CAST(25 * (c_custkey % 40) + (c_custkey * 3) % 7 - 3 AS DOUBLE) AS minx,
+       CAST(25 * floor((c_custkey % 2000) / 40) + (c_custkey * 5) % 5 - 2 AS DOUBLE) AS miny, CAST(25 * (c_custkey % 40) + (c_custkey * 3) % 7 + 5 + c_nationkey % 20 AS DOUBLE) AS maxx,
+       CAST(25 * floor((c_custkey % 2000) / 40) + 4 + (c_custkey * 7) % 20 AS DOUBLE) AS maxy
+FROM customer) s) t""",
     "segs": """
 SELECT s_suppkey AS seg_id, CASE WHEN s_nationkey % 5 = 0 THEN 'Motorway' ELSE 'Local Road' END AS road_function,
        CAST((s_suppkey * 37) % 1000 AS DOUBLE) AS x1, CAST((s_suppkey * 53) % 1250 AS DOUBLE) AS y1,

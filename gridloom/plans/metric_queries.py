@@ -10,7 +10,6 @@ from gridloom.plans.registry import query
 
 THRESHOLDS = [round(0.2 + 0.025 * i, 3) for i in range(25)]
 RATIOS = (0.2, 0.4, 0.6, 0.8, 1.0)
-REPS = 200
 
 
 @query("cand", sql="""WITH k AS (SELECT is_building, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rk FROM cand), s AS (SELECT sum(rk) FILTER (is_building = 1) AS r, count(*) FILTER (is_building = 1) AS p, count(*) FILTER (is_building = 0) AS n FROM k)
@@ -98,35 +97,6 @@ def q_final_keep(cand: DataFrame) -> DataFrame:
     return cand.select("label", ((F.col("prob") >= 0.5) & ~bridge & (F.col("area") >= 30)).alias("keep"), bridge.alias("bridge"))
 
 
-_BOOT = """t AS (SELECT tile_1km AS tile, CAST(sum(CASE WHEN prob >= 0.5 AND is_building = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS p, CAST(sum(is_building) AS BIGINT) AS t, CAST(sum(CASE WHEN prob >= 0.7 AND is_building = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp2, CAST(sum(CASE WHEN prob >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS p2 FROM cand GROUP BY tile_1km),
- d AS (SELECT CAST(a.rep AS BIGINT) AS rep, CAST((a.rep * 7919 + b.pos * 104729 + a.rep * b.pos * 31) % 25 AS INT) AS tile FROM range(0, 200) a(rep), range(0, 25) b(pos)),
- b AS (SELECT rep, 2.0 * sum(tp) / (sum(p) + sum(t)) AS f1, 2.0 * sum(tp2) / (sum(p2) + sum(t)) AS g1 FROM d JOIN t USING (tile) GROUP BY rep)"""
-
-
-def _boot(cand: DataFrame) -> DataFrame:
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    true = F.col("is_building") == 1
-    tiles = cand.groupBy(F.col("tile_1km").alias("tile")).agg(
-        n((F.col("prob") >= 0.5) & true).alias("tp"), n(F.col("prob") >= 0.5).alias("p"), n(true).alias("t"), n((F.col("prob") >= 0.7) & true).alias("tp2"), n(F.col("prob") >= 0.7).alias("p2")
-    )
-    draws = cand.sparkSession.range(REPS).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("pos"))
-    draws = draws.select("rep", ((F.col("rep") * 7919 + F.col("pos") * 104729 + F.col("rep") * F.col("pos") * 31) % 25).cast("int").alias("tile"))
-    b = me.resamples(tiles, "tile", draws, ("tp", "p", "t", "tp2", "p2"))
-    return b.select("rep", (2 * F.col("tp") / (F.col("p") + F.col("t"))).alias("f1"), (2 * F.col("tp2") / (F.col("p2") + F.col("t"))).alias("g1"))
-
-
-@query("cand", sql=f"WITH {_BOOT} SELECT round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high, count(*) AS reps FROM b")
-def q_bootstrap_ci(cand: DataFrame) -> DataFrame:
-    return _boot(cand).agg(*me.interval("f1"), F.count("*").alias("reps")).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "reps")
-
-
-@query("cand", sql=f"WITH {_BOOT} SELECT round(avg(f1 - g1), 6) AS diff, round(quantile_cont(f1 - g1, 0.025), 6) AS low, round(quantile_cont(f1 - g1, 0.975), 6) AS high, round(100 * avg(CASE WHEN f1 > g1 THEN 1.0 ELSE 0 END), 6) AS better FROM b")
-def q_paired_bootstrap(cand: DataFrame) -> DataFrame:
-    b = _boot(cand).withColumn("d", F.col("f1") - F.col("g1"))
-    out = b.agg(F.avg("d").alias("diff"), *me.interval("d"), (100 * F.avg((F.col("d") > 0).cast("double"))).alias("better"))
-    return out.select(*[F.round(c, 6).alias(c) for c in ("diff", "low", "high", "better")])
-
-
 @query("cand", sql="""WITH g AS (SELECT t / 10.0 AS threshold, CAST(a AS DOUBLE) AS least, CAST(l / 10.0 AS DOUBLE) AS ratio FROM range(3, 7) x(t), (VALUES (30), (60)) y(a), range(4, 20, 2) z(l)),
  k AS (SELECT threshold, least, ratio, quadrant, sum(CASE WHEN prob >= threshold AND area >= least AND line_ratio < ratio AND is_building = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN prob >= threshold AND area >= least AND line_ratio < ratio THEN 1 ELSE 0 END) AS p, sum(is_building) AS t FROM cand, g GROUP BY ALL)
  SELECT CAST(threshold AS DOUBLE) AS threshold, least, ratio, round(avg(CASE WHEN p + t = 0 THEN 0.0 ELSE 2.0 * tp / (p + t) END), 6) AS objective FROM k GROUP BY threshold, least, ratio""")
