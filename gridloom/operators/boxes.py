@@ -68,9 +68,9 @@ def centroids(df: DataFrame) -> DataFrame:
     return df.withColumn("x", (F.col("minx") + F.col("maxx")) / 2).withColumn("y", (F.col("miny") + F.col("maxy")) / 2)
 
 
-def near_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """Ordered pairs of different points (id, x, y) within ``radius``: each point meets its own and the eight cells around."""
-    a = prefixed(points, "l_").withColumn("__gx", F.floor(F.col("l_x") / radius).cast("long")).withColumn("__gy", F.floor(F.col("l_y") / radius).cast("long"))
+def near_pairs(points: DataFrame, radius: float, asking: DataFrame | None = None) -> DataFrame:
+    """Ordered pairs of different points (id, x, y) within ``radius``: each asking point (all by default) meets its own and the eight cells around."""
+    a = prefixed(points if asking is None else asking, "l_").withColumn("__gx", F.floor(F.col("l_x") / radius).cast("long")).withColumn("__gy", F.floor(F.col("l_y") / radius).cast("long"))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     b = prefixed(points, "r_").withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
     b = b.withColumn("__gx", F.floor(F.col("r_x") / radius).cast("long") + F.col("__dx")).withColumn("__gy", F.floor(F.col("r_y") / radius).cast("long") + F.col("__dy"))
@@ -91,13 +91,16 @@ def nearest_other(points: DataFrame, radius: float = 64.0, rounds: int = 24) ->
     The radius doubles for the points that found nothing yet, and stops when all have found or
     the radius spans the whole extent.
     """
+    from gridloom.plans.scratch import written
+
+    points = written(points.select("id", "x", "y"), "points")
     size = points.agg(F.max(F.col("x")) - F.min(F.col("x")), F.max(F.col("y")) - F.min(F.col("y"))).first()
     extent = math.hypot(float(size[0] or 0), float(size[1] or 0))
-    left, out = points.select("id"), None
+    left, out = points, None
     for _ in range(rounds):
-        found = near_pairs(points, radius).join(left, F.col("l_id") == F.col("id"), "left_semi").groupBy(F.col("l_id").alias("id")).agg(F.min("distance").alias("nearest"))
+        found = written(near_pairs(points, radius, left).groupBy(F.col("l_id").alias("id")).agg(F.min("distance").alias("nearest")), "nearest")
         out = found if out is None else out.unionByName(found)
-        left = left.join(found, "id", "left_anti")
+        left = written(left.join(found, "id", "left_anti"), "open")
         if radius > extent or left.isEmpty():
             break
         radius *= 2
@@ -165,3 +168,9 @@ def sample_windows(buildings: DataFrame, size: float, detached: Column, middle:
     rural = r.where((F.col("ky") * size >= middle) & (F.col("area") > 3000)).agg(F.min_by(F.struct("kx", "ky"), "a").alias("k")).where("k is not null").select("k.*")
     named = pick("densest", r.where("a = m")).unionByName(pick("suburban", r.where(F.col("a") == F.floor(F.col("m") * 0.8) + 1)))
     return named.unionByName(pick("detached", r.where("h = 1"))).unionByName(pick("rural", rural))
+
+
+def lines_in(lines: DataFrame, minx: float, miny: float, maxx: float, maxy: float, margin: float = 0.0) -> DataFrame:
+    """Lines (x1, y1, x2, y2) whose bounds meet a box widened by ``margin``."""
+    meets = (F.greatest("x1", "x2") >= minx - margin) & (F.least("x1", "x2") <= maxx + margin) & (F.greatest("y1", "y2") >= miny - margin) & (F.least("y1", "y2") <= maxy + margin)
+    return lines.where(meets)

@@ -48,6 +48,16 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     return steps.agg((F.sum("part") / F.nullif(F.sum("p"), F.lit(0))).alias("ap"))
 
 
+def ranked(df: DataFrame, by: str, score: str, label: str, weight: str) -> DataFrame:
+    """(by, auc, ap, auc_weighted) of each group; windows run over a group's distinct scores."""
+    w, y = F.col(weight), F.col(label)
+    counts = df.groupBy(by, F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"), F.sum(w * y).alias("wp"), F.sum(w * (1 - y)).alias("wn"))
+    up, down = Window.partitionBy(by).orderBy("s"), Window.partitionBy(by).orderBy(F.col("s").desc())
+    each = counts.withColumns({"below": F.sum("n").over(up) - F.col("n"), "wbelow": F.sum("wn").over(up) - F.col("wn"), "tp": F.sum("p").over(down), "all": F.sum(F.col("p") + F.col("n")).over(down)})
+    auc = lambda p, n, below: F.sum(F.col(p) * (F.col(below) + F.col(n) / 2)) / F.nullif(F.sum(p) * F.sum(n), F.lit(0))
+    return each.groupBy(by).agg(auc("p", "n", "below").alias("auc"), (F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"), auc("wp", "wn", "wbelow").alias("auc_weighted"))
+
+
 def errors(difference: Column) -> list[Column]:
     """Aggregates of an error: n, bias, median and mean absolute, RMSE, percent within 1 and 2."""
     size = F.abs(difference)
@@ -88,3 +98,20 @@ def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
         filled[fold] += row["count"]
         out.append((row[group], fold))
     return df.sparkSession.createDataFrame(out, df.select(group).schema.add("fold", IntegerType()))
+
+
+def pixel_scores(df: DataFrame, keep: Column, totals: DataFrame, by: str = "quadrant") -> DataFrame:
+    """(by, tp, fp, fn, precision, recall, f1) from candidates' scored_px and fp_px; ``totals`` (by, truth) has all scored pixels."""
+    part = lambda c: F.coalesce(F.sum(F.when(keep, F.col(c))), F.lit(0)).cast("long")
+    sums = df.groupBy(by).agg(part("scored_px").alias("tp"), part("fp_px").alias("fp")).join(totals, by)
+    p, r, f1 = prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("truth"))
+    return sums.select(by, "tp", "fp", (F.col("truth") - F.col("tp")).alias("fn"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def greedy_rule(scores: Sequence[tuple[float, float]], start: float, gain: float = 1e-6) -> tuple[float | None, float]:
+    """(rule, score): rules in order, each taken only if it beats the best so far by more than ``gain``; None is no rule."""
+    rule, best = None, start
+    for own, score in scores:
+        if score > best + gain:
+            rule, best = own, score
+    return rule, best

@@ -136,5 +136,29 @@ def clear_scenes(obs: DataFrame, classes: Sequence[int], least: float = MIN_CLEA
     return obs.groupBy("scene").agg(F.avg(F.col("scl").isin(*classes).cast("double")).alias("clear")).where(F.col("clear") >= least)
 
 
+def neutral_ndvi(value: Column) -> Column:
+    """NDVI with nodata (below -1) as 0."""
+    return F.when(value < -1, 0.0).otherwise(value)
+
+
+def search_scenes(scenes: DataFrame, first: str, last: str, cloud: float, box: tuple[float, float, float, float]) -> DataFrame:
+    """Scenes (day, cloud, minx..maxy) of a range of days under a cloud limit that meet a box, with their ``turn`` in time; plain filters that reach the scan."""
+    minx, miny, maxx, maxy = box
+    meets = (F.col("maxx") >= minx) & (F.col("minx") <= maxx) & (F.col("maxy") >= miny) & (F.col("miny") <= maxy)
+    found = scenes.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & (F.col("cloud") < cloud) & meets)
+    return found.withColumn("turn", F.row_number().over(Window.orderBy("day", "scene")).cast("long"))
+
+
 def map_x(c: Column, origin: float, resolution: float) -> Column:
+    """Map coordinate of a column's centre."""
     return F.lit(origin) + (c + 0.5) * resolution
+
+
+def map_y(r: Column, origin: float, resolution: float) -> Column:
+    """Map coordinate of a row's centre; row 0 is the northernmost."""
+    return F.lit(origin) - (r + 0.5) * resolution
+
+
+def pixel_at(x: Column, y: Column, west: float, north: float, resolution: float) -> tuple[Column, Column]:
+    """(row, column) of the pixel that holds a map coordinate."""
+    return F.floor((F.lit(north) - y) / resolution).cast("int"), F.floor((x - F.lit(west)) / resolution).cast("int")

@@ -84,12 +84,20 @@ def zonal(labels: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
-def object_filter(labels: DataFrame, px: DataFrame, least_height: float = ra.MIN_OBJECT_HEIGHT, most_rough: float = 99.0, least_smooth: float = 0.0) -> DataFrame:
-    """Labels' pixels whose object is high, smooth and even enough; h and rough as in ``px``."""
+def object_filter(labels: DataFrame, px: DataFrame, least_height: float = ra.MIN_OBJECT_HEIGHT, most_rough: float = 99.0, least_smooth: float = 0.0, most_ndvi: float = 1.0, exempt_area: float = 400.0, roof_core: float = 0.0, width: int = WIDTH) -> DataFrame:
+    """Labels' pixels whose object is high, smooth and even enough, and not green; h, rough (and ndvi) as in ``px``.
+
+    The green rule is off at ``most_ndvi`` = 1 or without ndvi. Objects of ``exempt_area`` pixels and more are exempt
+    from it, and so are those with a smooth patch of ``roof_core`` pixels where that is above 0.
+    """
     smooth = F.avg(F.coalesce((F.col("rough") < ra.MAX_ROUGHNESS), F.lit(False)).cast("double"))
-    stats = labels.join(px.select("r", "c", "h", "rough"), ["r", "c"]).groupBy("label").agg(F.max("h").alias("top"), F.avg("rough").alias("rough"), smooth.alias("smooth"))
-    good = stats.where((F.col("top") >= least_height) & (F.coalesce("rough", F.lit(0.0)) <= most_rough) & (F.col("smooth") >= least_smooth))
-    return labels.join(good, "label", "left_semi")
+    by_ndvi = most_ndvi < 1 and "ndvi" in px.columns
+    green = F.avg("ndvi") > most_ndvi if by_ndvi else F.lit(False)
+    stats = labels.join(px.select("r", "c", "h", "rough", *(["ndvi"] if by_ndvi else [])), ["r", "c"]).groupBy("label").agg(F.max("h").alias("top"), F.avg("rough").alias("rough"), smooth.alias("smooth"), F.count("*").alias("n"), F.coalesce(F.first(green) if not by_ndvi else green, F.lit(False)).alias("green"))
+    if by_ndvi and roof_core > 0:
+        stats = stats.join(largest_smooth_patch(labels, px, width), "label").withColumn("green", F.col("green") & (F.col("patch") < roof_core))
+    high = (F.col("top") >= least_height) & (F.coalesce("rough", F.lit(0.0)) <= most_rough) & (F.col("smooth") >= least_smooth)
+    return labels.join(stats.where(high & ~(F.col("green") & (F.col("n") < exempt_area))), "label", "left_semi")
 
 
 def largest_smooth_patch(labels: DataFrame, px: DataFrame, width: int) -> DataFrame:
@@ -102,10 +110,10 @@ def largest_smooth_patch(labels: DataFrame, px: DataFrame, width: int) -> DataFr
     return labels.select("label").distinct().join(most, "label", "left").select("label", F.coalesce("patch", F.lit(0)).alias("patch"))
 
 
-def extract_mask(px: DataFrame, width: int) -> DataFrame:
+def extract_mask(px: DataFrame, width: int, most_ndvi: float = 1.0, exempt_area: float = 400.0, roof_core: float = 0.0) -> DataFrame:
     """(r, c, label) of the candidate mask: seeds, growth inside tall pixels, closing, holes, size and object filters.
 
-    ``px`` has h and rough. Every stage that is used twice is written.
+    ``px`` has h and rough, and ndvi where the green rule is on. Every stage that is used twice is written.
     """
     px = written(px, "px")
     tall = px.where(F.col("h") > ra.MIN_HEIGHT).select("r", "c")
@@ -115,4 +123,4 @@ def extract_mask(px: DataFrame, width: int) -> DataFrame:
     closed = written(ra.close3x3(grown, px), "closed")
     filled = fill_holes(closed, px, ra.MAX_HOLE, width)
     objects = written(components(remove_small(written(filled, "filled"), ra.MIN_PIXELS, width), width), "objects")
-    return object_filter(objects, px)
+    return object_filter(objects, px, most_ndvi=most_ndvi, exempt_area=exempt_area, roof_core=roof_core, width=width)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = {"px": ("orders", "part"), "obs": ("lineitem",), "gt": ("part",), "pred": ("customer",), "moved": ("customer",), "segs": ("supplier",), "cand": ("embeddings",)}
+TABLES = {"px": ("orders", "part"), "obs": ("lineitem",), "gt": ("part",), "pred": ("customer",), "moved": ("customer",), "segs": ("supplier",), "cand": ("embeddings",), "scenes": ("orders",)}
 
 SQL = {
     "px": """
@@ -47,6 +47,10 @@ SELECT s_suppkey AS seg_id, CASE WHEN s_nationkey % 5 = 0 THEN 'Motorway' ELSE '
        CAST((s_suppkey * 37) % 1000 AS DOUBLE) AS x1, CAST((s_suppkey * 53) % 1250 AS DOUBLE) AS y1,
        CAST((s_suppkey * 37) % 1000 + s_nationkey - 12 AS DOUBLE) AS x2, CAST((s_suppkey * 53) % 1250 + (s_suppkey * 11) % 25 - 12 AS DOUBLE) AS y2
 FROM supplier""",
+    "scenes": """
+SELECT o_orderkey AS scene, CAST(o_orderdate AS DATE) AS day, CAST(o_custkey % 100 AS INT) AS cloud, CAST((o_orderkey * 37) % 1000 AS DOUBLE) AS minx, CAST((o_orderkey * 53) % 1200 AS DOUBLE) AS miny,
+       CAST((o_orderkey * 37) % 1000 + 100 AS DOUBLE) AS maxx, CAST((o_orderkey * 53) % 1200 + 100 AS DOUBLE) AS maxy
+FROM orders""",
     "cand": """
 SELECT e.vec_id AS label, CAST(20 + (e.vec_id * 13) % 600 AS DOUBLE) AS area,
        CASE CAST(e.vec_id % 4 AS INT) WHEN 0 THEN 'sw' WHEN 1 THEN 'ne' WHEN 2 THEN 'se' ELSE 'nw' END AS quadrant, CAST(e.vec_id % 25 AS INT) AS tile_1km,

@@ -60,12 +60,6 @@ def q_pixel_f1(cand: DataFrame) -> DataFrame:
     return k.select("quadrant", *[F.round(c, 6).alias(n) for c, n in zip(me.prf(F.col("tp"), F.col("p"), F.col("t")), ("precision", "recall", "f1"), strict=True)])
 
 
-@query("cand", sql="SELECT quadrant, count(*) FILTER (prob >= 0.5 AND is_building = 1) AS tp, count(*) FILTER (prob >= 0.5 AND is_building = 0) AS fp, count(*) FILTER (prob < 0.5 AND is_building = 1) AS fn, count(*) FILTER (prob < 0.5 AND is_building = 0) AS tn FROM cand GROUP BY GROUPING SETS ((), (quadrant))")
-def q_candidate_report(cand: DataFrame) -> DataFrame:
-    kept, true = F.col("prob") >= 0.5, F.col("is_building") == 1
-    return cand.groupingSets([[], ["quadrant"]], "quadrant").agg(F.count_if(kept & true).alias("tp"), F.count_if(kept & ~true).alias("fp"), F.count_if(~kept & true).alias("fn"), F.count_if(~kept & ~true).alias("tn"))
-
-
 _GRID = "(SELECT 0.2 + 0.025 * i AS threshold FROM range(0, 25) r(i))"
 
 
