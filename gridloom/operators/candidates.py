@@ -112,7 +112,7 @@ def explained(building: DataFrame, stages: dict[str, DataFrame]) -> DataFrame:
     marked = building.select("r", "c")
     for name, mask in stages.items():
         marked = marked.join(mask.select("r", "c", F.lit(1).alias(name)).distinct(), ["r", "c"], "left")
-    shares = marked.agg(*[(F.count(name) / F.count("*")).alias(name) for name in stages])
+    shares = marked.agg(*[F.try_divide(F.count(name), F.count("*")).alias(name) for name in stages])
     low = F.when(F.col("tall") >= 0.5, "no smooth roof").otherwise("not tall enough")
     verdict = F.when(F.col("final") >= 0.5, "detected").when(F.col("seeds") == 0, low).when(F.col("sized") < 0.5, "seeds too small / size filter").otherwise("per-footprint filter")
     return shares.withColumn("verdict", verdict)

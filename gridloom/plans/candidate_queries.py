@@ -205,7 +205,7 @@ def q_rail_extract(segs: DataFrame) -> DataFrame:
 
 
 @query("px", "gt", sql=f"""WITH RECURSIVE {TALL}, {RO_W}, {BURNED}, se AS (SELECT r, c FROM tall JOIN ro USING (r, c) WHERE rough < 1.25), {labels_sql('se', 'l1')}, sz AS (SELECT r, c FROM l1 WHERE label IN (SELECT label FROM l1 GROUP BY label HAVING count(*) >= 10)),
- fi AS (SELECT r, c FROM sz), s AS (SELECT count(t.x) / count(*) AS tall, count(se.x) / count(*) AS seeds, count(sz.x) / count(*) AS sized, count(fi.x) / count(*) AS final FROM (SELECT sc.r, sc.c FROM sc JOIN px USING (r, c)) b LEFT JOIN (SELECT r, c, 1 AS x FROM tall) t USING (r, c) LEFT JOIN (SELECT r, c, 1 AS x FROM se) se USING (r, c) LEFT JOIN (SELECT r, c, 1 AS x FROM sz) sz USING (r, c) LEFT JOIN (SELECT r, c, 1 AS x FROM fi) fi USING (r, c))
+ fi AS (SELECT r, c FROM sz), s AS (SELECT count(t.x) / nullif(count(*), 0) AS tall, count(se.x) / nullif(count(*), 0) AS seeds, count(sz.x) / nullif(count(*), 0) AS sized, count(fi.x) / nullif(count(*), 0) AS final FROM (SELECT sc.r, sc.c FROM sc JOIN px USING (r, c)) b LEFT JOIN (SELECT r, c, 1 AS x FROM tall) t USING (r, c) LEFT JOIN (SELECT r, c, 1 AS x FROM se) se USING (r, c) LEFT JOIN (SELECT r, c, 1 AS x FROM sz) sz USING (r, c) LEFT JOIN (SELECT r, c, 1 AS x FROM fi) fi USING (r, c))
  SELECT round(tall, 6) AS tall, round(seeds, 6) AS seeds, round(sized, 6) AS sized, round(final, 6) AS final, CASE WHEN final >= 0.5 THEN 'detected' WHEN seeds = 0 THEN CASE WHEN tall >= 0.5 THEN 'no smooth roof' ELSE 'not tall enough' END WHEN sized < 0.5 THEN 'seeds too small / size filter' ELSE 'per-footprint filter' END AS verdict FROM s""")
 def q_explained(px: DataFrame, gt: DataFrame) -> DataFrame:
     own = written(ra.roughness(ra.ndsm(px)), "px")
