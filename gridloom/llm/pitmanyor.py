@@ -8,13 +8,15 @@ generalised Stirling numbers, up to ``EXACT`` customers; in blocks of a tenth of
 customers beyond), then the parent's. Discounts come from counts of counts. Predictive
 probabilities are averaged over the last ``SAMPLES`` sweeps.
 
-Layout: a chunk of ``CHUNK_ROWS`` documents asks for its distinct (context, word) pairs and words;
-counts are dealt by pair, so no word or context has all of its pairs in one task. A pair of one
-customer has one table, so a sweep moves only pairs of two customers and more, each joined with
-its context's tables and its word's probability in the parent; every sweep's tables are
-written. Texts are never shuffled: a chunk's dictionary file in the shared folder holds what it
-asked for, and the chunk is read again to add it up. Pairs of one customer are most of all; a
-pair that the dictionary lacks is one of them.
+Layout: word hashes are cut into ``g`` ranges, pairs into a grid of ``g`` x ``g`` shards by the
+ranges of their context and their word, so the pairs of one frequent word or context lie in
+``g`` shards. A chunk of ``CHUNK_ROWS`` documents asks each shard for its distinct pairs and
+each range for its words, as packed integers. A shard keeps the pairs that need sampling (a
+pair of one customer has one table) as one file in the shared folder, and the lists of what
+each chunk asked for. A sweep is one task a shard, which reads the seats of two ranges, and one
+task a range, which adds up the tables of its row and its column; every sweep's files are new.
+Answers are dealt by chunk; the chunk is read again to add them up. A training text's pair that
+its dictionary lacks has one customer, a held-out text's has none. Texts are never shuffled.
 
 Defined results: null and blank texts are one end token; a null doc_id counts as an empty id;
 equal rows get equal scores; without training documents all words are unknown, N is 0 and
@@ -25,28 +27,25 @@ empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import discard, scratch_dir, spread, written
+from gridloom.llm.scratch import removed, scratch_dir, spread, written
 from gridloom.llm.words import hashed_texts
 
-#: The context that words are asked for under; no word's hash.
-NO_CONTEXT = np.uint64(0)
 END = np.uint64(1)
 BEGIN = np.uint64(2)
 STRENGTH = 1.0
 EXACT = 64
 SWEEPS, SAMPLES = 4, 2
 CHUNK_ROWS = 16_384
-BATCH_ROWS = 200_000
 
 
 def tokens(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +54,7 @@ def tokens(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_keys(dishes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Both are hashes already; a word under NO_CONTEXT is its own key."""
+    """Both are hashes already."""
     return dishes ^ (contexts << np.uint64(1) | contexts >> np.uint64(63))
 
 
@@ -153,187 +152,380 @@ def chunked(documents: DataFrame) -> DataFrame:
     return marked.select(chunk.alias("chunk"), own_id.alias("doc_id"), train.alias("train"), F.col("text").cast("string").alias("text"))
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (context, word) pairs of each chunk, and its words under NO_CONTEXT, with their training counts."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    merged: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    now, size, kept = None, 0, 0
-
-    def distinct(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        dishes, contexts, train = (np.concatenate([h[i] for h in parts]) for i in range(3))
+_KINDS = {1: np.uint8, 4: np.uint32, 8: np.uint64}
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays as bytes: bytes of equal weight together, then compressed."""
+    codec, head, bodies = pa.Codec("zstd"), [len(arrays)], []
+    for a in arrays:
+        flat = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        bodies.append(codec.compress(flat.tobytes(), asbytes=True) if len(a) else b"")
+        head += [len(a), a.itemsize, len(bodies[-1])]
+    return np.array(head, dtype=np.uint32).tobytes() + b"".join(bodies)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    codec = pa.Codec("zstd")
+    count = int(np.frombuffer(data, dtype=np.uint32, count=1)[0])
+    head = np.frombuffer(data, dtype=np.uint32, count=3 * count, offset=4).reshape(count, 3).tolist()
+    at, out = 4 + 12 * count, []
+    for n, size, length in head:
+        body = codec.decompress(data[at : at + length], decompressed_size=n * size, asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(body, dtype=np.uint8).reshape(size, n).T).view(_KINDS[size]).reshape(n))
+        at += length
+    return out
+
+
+def rises(values: np.ndarray) -> np.ndarray:
+    """Differences of values in order; ``np.cumsum`` undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _rising(values: np.ndarray) -> np.ndarray:
+    return np.cumsum(values, dtype=values.dtype)
+
+
+class Folder:
+    """Files in the shared folder; a file appears whole, and attempts write the same content."""
+
+    def __init__(self, uri: str):
+        self.system, self.base = fs.FileSystem.from_uri(uri)
+
+    def put(self, name: str, data: bytes) -> None:
+        path = f"{self.base}/{name}"
+        self.system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        part = f"{path}.{np.random.default_rng().integers(1 << 62):x}"
+        with self.system.open_output_stream(part) as out:
+            out.write(data)
+        try:
+            self.system.move(part, path)
+        except OSError:  # an earlier attempt's file is there, and this store doesn't replace it
+            if self.get(name) is None:
+                raise
+            self.system.delete_file(part)
+
+    def get(self, name: str) -> bytes | None:
+        path = f"{self.base}/{name}"
+        if self.system.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with self.system.open_input_stream(path) as file:
+            return file.read()
+
+    def put_rows(self, name: str, marks: list[int], blobs: list[bytes]) -> None:
+        out = pa.BufferOutputStream()
+        table = pa.table({"mark": pa.array(marks, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table, max_chunksize=64)
+        self.put(name, out.getvalue().to_pybytes())
+
+    def rows(self, name: str) -> Iterator[tuple[int, bytes]]:
+        data = self.get(name)
+        for batch in pa.ipc.open_stream(data) if data else ():
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+
+def range_of(words: np.ndarray, g: int) -> np.ndarray:
+    """Which of ``g`` ranges of hashes each word is in."""
+    return ((words >> np.uint64(32)) * np.uint64(g) >> np.uint64(32)).astype(np.int64)
+
+
+def _rows_of(chunk: int, dishes: np.ndarray, contexts: np.ndarray, train: np.ndarray, test: np.ndarray, g: int) -> pa.RecordBatch:
+    """What a chunk asks for: distinct pairs by shard, words by range (as -1 - range) with their training counts."""
+    words, place = np.unique(np.concatenate([dishes, contexts]), return_inverse=True)
+    w, u = place[: len(dishes)], place[len(dishes) :]
+    of_word = np.bincount(w, weights=train, minlength=len(words)).astype(np.uint64)
+    of_word[words == BEGIN] = train[contexts == BEGIN].sum()
+    ranges = range_of(words, g)
+    cell = ranges[u] * g + ranges[w]
+    order = np.argsort((cell * len(words) + u) * len(words) + w)
+    u, w, cell, train, test = u[order], w[order], cell[order], train[order], test[order]
+    shards, blobs = [], []
+    cuts = np.searchsorted(cell, np.arange(g * g + 1))
+    for shard in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[shard], cuts[shard + 1])
+        own_u, ui = np.unique(u[part], return_inverse=True)
+        own_w, wi = np.unique(w[part], return_inverse=True)
+        shards.append(shard)
+        blobs.append(pack(rises(words[own_u]), rises(words[own_w]), rises(ui.astype(np.uint32)), wi.astype(np.uint32), train[part].astype(np.uint32), (test[part] > 0).astype(np.uint8)))
+    cuts = np.searchsorted(ranges, np.arange(g + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[k], cuts[k + 1])
+        shards.append(-1 - k)
+        blobs.append(pack(rises(words[part]), of_word[part]))
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([chunk] * len(shards), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "chunk", "blob"])
+
+
+def _wanted(g: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct (context, word) pairs of each chunk with how often training and held-out texts have them."""
+
+    def distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        dishes, contexts, train, test = (np.concatenate([h[i] for h in parts]) for i in range(4))
         parts.clear()
         _, first, place = np.unique(pair_keys(dishes, contexts), return_index=True, return_inverse=True)
-        return dishes[first], contexts[first], np.bincount(place, weights=train, minlength=len(first)).astype(np.int64)
-
-    def merge() -> None:
-        nonlocal kept, size
-        merged.append(distinct(held))
-        kept, size = kept + len(merged[-1][0]), 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal kept
-        if held:
-            merge()
-        dishes, contexts, counts = distinct(merged)
-        kept = 0
-        words, place = np.unique(dishes, return_inverse=True)
-        of_word = np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64)
-        texts = counts[contexts == BEGIN].sum()
-        order = np.argsort(contexts)
-        u = np.concatenate([np.full(len(words) + 1, NO_CONTEXT), contexts[order]])
-        w = np.concatenate([words, [BEGIN], dishes[order]])
-        n = np.concatenate([of_word, [texts], counts[order]])
-        for at in range(0, len(u), BATCH_ROWS):
-            part = slice(at, at + BATCH_ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(u[part].view(np.int64)), pa.array(w[part].view(np.int64)), pa.array(np.full(len(u[part]), now, dtype=np.int64)), pa.array(n[part])], ["u", "w", "chunk", "n"])
-
-    for batch in batches:
-        chunks, train = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-        for i, words in hashed_texts(batch.column(2)):
-            if (held or merged) and (chunks[i] != now or kept > 2_500_000):
-                yield from flush()
-            now = int(chunks[i])
-            dishes, contexts = tokens(words)
-            held.append((dishes, contexts, np.full(len(dishes), train[i], dtype=np.int8)))
-            size += len(dishes)
-            if size > 1_000_000:
-                merge()
-    if held or merged:
-        yield from flush()
-
-
-def _asked(wanted: DataFrame) -> DataFrame:
-    """(u, w, chunk, c, first): what each chunk asks for and its training count ``c``; ``first`` holds in one row of each pair or word."""
-    same = Window.partitionBy("u", "w")
-    first = F.row_number().over(same.orderBy("chunk")) == 1
-    counted = wanted.withColumns({"c": F.sum("n").over(same.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "first": first})
-    return written(counted.select("u", "w", "chunk", "c", "first"), "lm-asked")
-
-
-def _key() -> Column:
-    """``pair_keys`` of columns u and w."""
-    return F.col("w").bitwiseXOR(F.shiftleft("u", 1).bitwiseOR(F.shiftrightunsigned("u", 63))).alias("key")
-
-
-def _drawn(rows: DataFrame, sweep: int, d: float, count: str, tables: str, others: str, base: str) -> DataFrame:
-    """``rows`` with column ``tables`` redrawn for ``count`` customers."""
-    at = [rows.columns.index(name) for name in (count, tables, others, base)]
-    place = at[1]
+        return dishes[first], contexts[first], *(np.bincount(place, weights=n, minlength=len(first)).astype(np.int64) for n in (train, test))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        merged: list[tuple[np.ndarray, ...]] = []
+        now, size, kept = 0, 0, 0
+        for batch in batches:
+            chunks, train = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            for i, words in hashed_texts(batch.column(2)):
+                if (held or merged) and (chunks[i] != now or kept > 4_000_000):
+                    yield _rows_of(now, *distinct(merged + held), g)
+                    held, merged, size, kept = [], [], 0, 0
+                now = int(chunks[i])
+                dishes, contexts = tokens(words)
+                of_train = np.full(len(dishes), train[i], dtype=np.int8)
+                held.append((dishes, contexts, of_train, 1 - of_train))
+                size += len(dishes)
+                if size > 1_000_000:
+                    merged.append(distinct(held))
+                    size, kept = 0, kept + len(merged[-1][0])
+        if held or merged:
+            yield _rows_of(now, *distinct(merged + held), g)
+
+    return run
+
+
+def _gathered(folder: str) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Counts a shard's pairs or a range's words over all chunks and writes them, with what each chunk asked for."""
+
+    def together(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        values, place = np.unique(np.concatenate(parts), return_inverse=True)
+        return values, np.split(place, np.cumsum([len(p) for p in parts])[:-1])
+
+    def of_words(shard: int, chunks: list[int], blobs: list[list[np.ndarray]], files: Folder) -> list[int]:
+        words, places = together([_rising(b[0]) for b in blobs])
+        n = np.zeros(len(words), dtype=np.uint64)
+        for place, (_, counts) in zip(places, blobs, strict=True):
+            n[place] += counts
+        files.put(f"words/{-1 - shard}", pack(rises(words), n))
+        files.put_rows(f"asked/{shard}", chunks, [pack(rises(p.astype(np.uint32))) for p in places])
+        dishes = n[words != BEGIN]
+        return [0, 0, int(dishes.sum()), int((dishes > 0).sum())]
+
+    def of_pairs(shard: int, chunks: list[int], blobs: list[list[np.ndarray]], files: Folder) -> list[int]:
+        us, u_places = together([_rising(b[0]) for b in blobs])
+        ws, w_places = together([_rising(b[1]) for b in blobs])
+        keys = [u[_rising(b[2])] * len(ws) + w[b[3]] for u, w, b in zip(u_places, w_places, blobs, strict=True)]
+        pairs, places = together(keys)
+        c = np.zeros(len(pairs), dtype=np.uint64)
+        for place, b in zip(places, blobs, strict=True):
+            c[place] += b[4]
+        # one customer, one table: only held-out texts need to be told
+        asked = [p[(c[p] > 1) | (c[p] == 1) & (b[5] > 0)] for p, b in zip(places, blobs, strict=True)]
+        kept = c > 1
+        for p in asked:
+            kept[p] = True
+        new = (np.cumsum(kept) - 1).astype(np.uint32)
+        u, w = pairs // len(ws), pairs % len(ws)
+        counts = [np.bincount(x[rows], minlength=len(of)).astype(np.uint32) for x, of in ((u, us), (w, ws)) for rows in (c > 0, c == 1)]
+        files.put(f"types/{shard}", pack(rises(us), counts[0], counts[1], rises(ws), counts[2], counts[3]))
+        own_u, u = np.unique(u[kept], return_inverse=True)
+        own_w, w = np.unique(w[kept], return_inverse=True)
+        files.put(f"pairs/{shard}", pack(rises(us[own_u]), rises(ws[own_w]), rises(u.astype(np.uint32)), w.astype(np.uint32), c[kept]))
+        files.put_rows(f"asked/{shard}", chunks, [pack(rises(new[p])) for p in asked])
+        return [int((c == 1).sum()), int((c == 2).sum()), 0, 0]
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        shard, files = key[0].as_py(), Folder(folder)
+        blobs = [unpack(b) for b in group.column("blob").to_pylist()]
+        sums = (of_words if shard < 0 else of_pairs)(shard, group.column("chunk").to_pylist(), blobs, files)
+        return pa.table([pa.array([x], pa.int64()) for x in sums], ["ones", "twos", "n", "words"])
+
+    return run
+
+
+def _over(spark: SparkSession, n: int, work: Callable[[int], tuple[float, float]]) -> tuple[float, float]:
+    """Runs ``work`` for each number below ``n`` in a task of its own; the sums of what it returns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                c, t, there, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in at)
-                rng = np.random.default_rng((sweep, batch.num_rows, int(batch.column(0)[0].as_py()) & (1 << 63) - 1))
-                new = draw_tables(c.astype(np.int64), np.maximum(0.0, there - t), p, d, rng)
-                yield batch.set_column(place, tables, pa.array(new, pa.int64()))
+            sums = [work(k) for k in batch.column(0).to_pylist()]
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.float64()) for x in zip(*sums, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, rows.schema)
+    row = spark.range(0, n, 1, n).mapInArrow(run, "a double, b double").agg(F.sum("a"), F.sum("b")).first()
+    return row[0] or 0.0, row[1] or 0.0
 
 
 class Seating(NamedTuple):
-    """What the sweeps leave: key, t (sum over samples); w, bases; u, theres."""
+    """What the sweeps leave: files below ``folder``, and for each sampled sweep its number and the parent's customers and tables."""
 
     totals: Totals
-    pairs: DataFrame
-    words: DataFrame
-    contexts: DataFrame
-    unknown: list[float]
-
-
-def fit(asked: DataFrame, sweeps: int, samples: int) -> Seating:
-    """Runs the sweeps; each writes its tables and brings one row of sums to the driver."""
-    pairs = asked.where("first and u <> 0 and c > 0")
-    none = F.array().cast("array<double>")
-    ones = F.sum((F.col("c") == 1).cast("long")).alias("ones")
-    words = written(pairs.groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("types"), ones), "lm-words")
-    contexts = written(pairs.groupBy("u").agg(F.count("*").cast("double").alias("there"), ones), "lm-contexts")
-    one, two = (F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2))
-    of_pairs = pairs.agg(one, two).first()
-    one, two = (F.coalesce(F.sum((F.col("types") == k).cast("long")), F.lit(0)) for k in (1, 2))
-    of_words = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), one, two).first()
-    totals = Totals(np.array([of_words[1]]), np.array([of_words[2]]), of_words[0], (of_pairs[0], of_words[3]), (of_pairs[1], of_words[4]))
-    uniform = 1.0 / (totals.words + 1)
-    state = written(pairs.where("c > 1").select(_key(), "u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("all")), "lm-tables")
-    seats = words.select("w", "ones", F.lit(0).cast("long").alias("root"), F.greatest(F.col("n") / max(1, totals.n), F.lit(uniform * 1e-3)).alias("base"), none.alias("bases"))
-    rooms = contexts.select("u", "ones", "there", none.alias("theres"))
-    root_there, unknown = float(totals.words), []
+    folder: str
+    g: int
+    sampled: list[tuple[int, float, float]]
+
+
+def _typed(folder: str, g: int) -> Callable[[int], tuple[float, float]]:
+    """Adds up how many pairs, and pairs of one customer, a range's words have as dishes and as contexts."""
+
+    def work(k: int) -> tuple[float, float]:
+        files = Folder(folder)
+        if (data := files.get(f"words/{k}")) is None:
+            return 0, 0
+        words = _rising(unpack(data)[0])
+        types, ones, room, room_ones = (np.zeros(len(words), dtype=np.uint64) for _ in range(4))
+        for other in range(g):
+            for shard, at, (all_of, ones_of) in ((k * g + other, 0, (room, room_ones)), (other * g + k, 3, (types, ones))):
+                if data := files.get(f"types/{shard}"):
+                    keys, a, b = unpack(data)[at : at + 3]
+                    place = np.searchsorted(words, _rising(keys))
+                    all_of[place] += a
+                    ones_of[place] += b
+        files.put(f"ones/{k}", pack(ones, room_ones))
+        files.put(f"sweep0/seats/{k}", pack(np.zeros_like(room), np.zeros_like(room), room))
+        return int((types == 1).sum()), int((types == 2).sum())
+
+    return work
+
+
+def _drawn(folder: str, g: int, sweep: int, add: bool, totals: Totals, parent: tuple[float, float]) -> Callable[[int], tuple[float, float]]:
+    """Redraws the tables of a shard's pairs and adds them up by context and by word."""
+
+    def work(shard: int) -> tuple[float, float]:
+        files = Folder(folder)
+        if (data := files.get(f"pairs/{shard}")) is None:
+            return 0, 0
+        us, ws, u, w, c = unpack(data)
+        u, c = _rising(u), c.astype(np.int64)
+        row, column = divmod(shard, g)
+        at_u = np.searchsorted(_rising(unpack(files.get(f"words/{row}"))[0]), _rising(us))
+        words, n = unpack(files.get(f"words/{column}"))
+        at_w = np.searchsorted(_rising(words), _rising(ws))
+        there = unpack(files.get(f"sweep{sweep}/seats/{row}"))[2][at_u].astype(np.float64)
+        customers, root, _ = (x[at_w].astype(np.float64) for x in unpack(files.get(f"sweep{sweep}/seats/{column}")))
+        if sweep:
+            base = root_probability(customers, root, *parent, totals)
+            t, added = (x.astype(np.int64) for x in unpack(files.get(f"sweep{sweep}/tables/{shard}")))
+        else:
+            base = np.maximum(n[at_w] / max(1, totals.n), 1e-3 / (totals.words + 1))
+            t, added = np.minimum(c, 1), np.zeros_like(c)
+        t = draw_tables(c, np.maximum(0.0, there[u] - t), base[w], totals.discount, np.random.default_rng((1, shard, sweep)))
+        sums = [np.bincount(x[c > 1], weights=t[c > 1], minlength=len(of)).astype(np.uint64) for x, of in ((u, us), (w, ws))]
+        files.put(f"sweep{sweep + 1}/tables/{shard}", pack(t.astype(np.uint64), (added + t * add).astype(np.uint64)))
+        files.put(f"sweep{sweep + 1}/sums/{shard}", pack(rises(at_u.astype(np.uint32)), sums[0], rises(at_w.astype(np.uint32)), sums[1]))
+        return 0, 0
+
+    return work
+
+
+def _seated(folder: str, g: int, sweep: int, totals: Totals, there: float) -> Callable[[int], tuple[float, float]]:
+    """Customers of the parent for a range's words, their tables redrawn, and tables in the words' own restaurants."""
+
+    def work(k: int) -> tuple[float, float]:
+        files = Folder(folder)
+        if (data := files.get(f"ones/{k}")) is None:
+            return 0, 0
+        customers, rooms = unpack(data)
+        for other in range(g):
+            for shard, at, of in ((k * g + other, 0, rooms), (other * g + k, 2, customers)):
+                if data := files.get(f"sweep{sweep + 1}/sums/{shard}"):
+                    place, sums = unpack(data)[at : at + 2]
+                    of[_rising(place)] += sums
+        before = unpack(files.get(f"sweep{sweep}/seats/{k}"))[1].astype(np.float64)
+        uniform = np.full(len(customers), 1.0 / (totals.words + 1))
+        root = draw_tables(customers.astype(np.int64), np.maximum(0.0, there - before), uniform, totals.root_discount, np.random.default_rng((2, k, sweep)))
+        files.put(f"sweep{sweep + 1}/seats/{k}", pack(customers, root.astype(np.uint64), rooms))
+        return int(customers.sum()), int(root.sum())
+
+    return work
+
+
+def fit(own: DataFrame, sweeps: int, samples: int) -> Seating:
+    """Counts pairs and words and runs the sweeps; each brings one row of sums to the driver."""
+    spark = own.sparkSession
+    folder = scratch_dir(spark, "lm")
+    g = max(1, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = own.select("chunk", "train", "text").mapInArrow(_wanted(g), "shard int, chunk long, blob binary")
+    sums = asked.groupBy("shard").applyInArrow(_gathered(folder), "ones long, twos long, n long, words long")
+    ones, twos, n, words = (x or 0 for x in sums.agg(*[F.sum(c) for c in sums.columns]).first())
+    root_ones, root_twos = _over(spark, g, _typed(folder, g))
+    removed(spark, f"{folder}/types")
+    totals = Totals(np.array([n]), np.array([0]), words, (ones, int(root_ones)), (twos, int(root_twos)))
+    parent, sampled = (0.0, float(words)), []
     for sweep in range(sweeps):
-        sampled = sweep >= sweeps - samples
-        met = state.join(rooms.select("u", "there"), "u").join(seats.select("w", "base"), "w").select("key", "u", "w", "c", "t", "all", "there", "base")
-        drawn = _drawn(met, sweep, totals.discount, "c", "t", "there", "base")
-        before = (state, seats, rooms)
-        state = written(drawn.select("key", "u", "w", "c", "t", (F.col("all") + F.col("t") * int(sampled)).alias("all")), "lm-tables")
-        customers = F.col("ones") + F.coalesce("more", F.lit(0))
-        sat = seats.join(state.groupBy("w").agg(F.sum("t").alias("more")), "w", "left").select("w", "ones", customers.alias("customers"), "root", F.lit(root_there).alias("there"), F.lit(uniform).alias("p"), "bases")
-        sat = written(_drawn(sat, sweep, totals.root_discount, "customers", "root", "there", "p"), "lm-words")
-        all_customers, all_tables = (float(x or 0) for x in sat.agg(F.sum("customers"), F.sum("root")).first())
-        base = root_probability(F.col("customers"), F.col("root"), all_customers, all_tables, totals)
-        seats = sat.select("w", "ones", "root", base.alias("base"), (F.concat("bases", F.array(base)) if sampled else F.col("bases")).alias("bases"))
-        there = customers.cast("double")
-        rooms = written(rooms.join(state.groupBy("u").agg(F.sum("t").alias("more")), "u", "left").select("u", "ones", there.alias("there"), (F.concat("theres", F.array(there)) if sampled else F.col("theres")).alias("theres")), "lm-contexts")
-        for table in before:
-            discard(table)
-        root_there = all_tables
-        if sampled:
-            unknown.append(float(root_probability(0.0, 0.0, all_customers, all_tables, totals)))
-    return Seating(totals, state.select("key", "all"), seats.select("w", "bases"), rooms.select("u", "theres"), unknown)
-
-
-def _answers(asked: DataFrame, seating: Seating, samples: int) -> DataFrame:
-    """(chunk, key, n, own, base0.., there0..): of words their count, probabilities in the parent and tables as contexts; of pairs of no or several customers their customers after the discount."""
-    d = seating.totals.discount
-    pairs = asked.where("u <> 0").select(_key(), "chunk", "c")
-    several = pairs.where("c > 1").join(seating.pairs, "key").select("chunk", "key", (F.col("c") - d * F.col("all") / samples).cast("float").alias("own"))
-    own = several.unionByName(pairs.where("c = 0").select("chunk", "key", F.lit(0).cast("float").alias("own")))
-    names = [f"{kind}{i}" for kind in ("base", "there") for i in range(samples)]
-    pairs = own.select("chunk", "key", F.lit(-1).cast("long").alias("n"), "own", *[F.lit(0.0).alias(name) for name in names])
-    words = asked.where("u = 0").select("chunk", F.col("w").alias("key"), F.col("c").alias("n"))
-    words = words.join(seating.words.withColumnRenamed("w", "key"), "key", "left").join(seating.contexts.withColumnRenamed("u", "key"), "key", "left")
-    bases = [F.coalesce(F.col("bases")[i], F.lit(x)) for i, x in enumerate(seating.unknown)]
-    theres = [F.coalesce(F.col("theres")[i], F.lit(0.0)) for i in range(samples)]
-    return pairs.unionByName(words.select("chunk", "key", "n", F.lit(0).cast("float").alias("own"), *[c.alias(name) for c, name in zip(bases + theres, names, strict=True)]))
-
-
-def _dictionaries(answers: DataFrame, folder: str, samples: int, d: float) -> DataFrame:
-    """Writes one dictionary file for each chunk: words in order with counts, parent probabilities and shares of the parent; pair keys in order with what they have of their own."""
+        add = sweep >= sweeps - samples
+        _over(spark, g * g, _drawn(folder, g, sweep, add, totals, parent))
+        parent = _over(spark, g, _seated(folder, g, sweep, totals, parent[1]))
+        removed(spark, f"{folder}/sweep{sweep}/tables")
+        removed(spark, f"{folder}/sweep{sweep + 1}/sums")
+        if add:
+            sampled.append((sweep + 1, *parent))
+    return Seating(totals, folder, g, sampled)
+
+
+def _answers(spark: SparkSession, seating: Seating) -> DataFrame:
+    """(chunk, kind, blob): 0 for pairs with customers and added tables, 1 for words with counts and each sample's customers, tables and tables as contexts."""
+    folder, g, last = seating.folder, seating.g, seating.sampled[-1][0]
+
+    def of_pairs(shard: int, files: Folder) -> Iterator[tuple[int, int, bytes]]:
+        if (data := files.get(f"pairs/{shard}")) is None:
+            return
+        us, ws, u, w, c = unpack(data)
+        us, ws, u = _rising(us), _rising(ws), _rising(u)
+        added = unpack(files.get(f"sweep{last}/tables/{shard}"))[1]
+        for chunk, blob in files.rows(f"asked/{shard}"):
+            at = _rising(unpack(blob)[0])
+            if len(at):
+                own_u, ui = np.unique(u[at], return_inverse=True)
+                own_w, wi = np.unique(w[at], return_inverse=True)
+                yield chunk, 0, pack(rises(us[own_u]), rises(ws[own_w]), rises(ui.astype(np.uint32)), wi.astype(np.uint32), c[at], added[at])
+
+    def of_words(k: int, files: Folder) -> Iterator[tuple[int, int, bytes]]:
+        if (data := files.get(f"words/{k}")) is None:
+            return
+        words, n = unpack(data)
+        words = _rising(words)
+        seats = [x for sweep, *_ in seating.sampled for x in unpack(files.get(f"sweep{sweep}/seats/{k}"))]
+        for chunk, blob in files.rows(f"asked/{-1 - k}"):
+            at = _rising(unpack(blob)[0])
+            yield chunk, 1, pack(rises(words[at]), n[at], *[x[at] for x in seats])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Folder(folder)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                for chunk, kind, blob in of_pairs(k, files) if k < g * g else of_words(k - g * g, files):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "kind", "blob"])
+
+    return spark.range(0, g * g + g, 1, g * g + g).mapInArrow(run, "chunk long, kind int, blob binary")
+
+
+def _dictionaries(answers: DataFrame, folder: str) -> int:
+    """Writes one dictionary file for each chunk, of all its answers; how many there are."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        keys, n = group.column("key").to_numpy().view(np.uint64), group.column("n").to_numpy()
-        word = n >= 0
-        words, first = np.unique(keys[word], return_index=True)
-        bases, theres = (np.stack([group.column(f"{kind}{i}").to_numpy()[word][first] for i in range(samples)], axis=1) for kind in ("base", "there"))
-        pairs, at = np.unique(keys[~word], return_index=True)
-        own = group.column("own").to_numpy()[~word][at]
-        system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
-        name = f"{base}/{key[0].as_py() & (1 << 64) - 1:016x}"
-        part = f"{name}.{np.random.default_rng().integers(1 << 62):x}"
-        with system.open_output_stream(part) as out:
-            for values in (np.array([len(words), len(pairs)], dtype=np.int64), words, n[word][first], bases, (STRENGTH + d * theres) / samples, pairs, own):
-                out.write(np.ascontiguousarray(values).tobytes())
-        system.move(part, name)  # the same content, whichever attempt comes last
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "pairs": pa.array([len(pairs)], pa.int64())})
-
-    return written(answers.groupBy("chunk").applyInArrow(run, "chunk long, pairs long"), "lm-dictionaries")
+        Folder(folder).put_rows(f"books/{key[0].as_py() & (1 << 64) - 1:016x}", group.column("kind").to_pylist(), group.column("blob").to_pylist())
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64())})
+
+    return answers.groupBy("chunk").applyInArrow(run, "chunk long").count()
 
 
 class _Dictionary:
-    def __init__(self, system: fs.FileSystem, path: str, samples: int, d: float):
-        with system.open_input_stream(path) as file:
-            data = file.read()
-        at, self.single = 16, 1 - d
-        n, m = np.frombuffer(data, dtype=np.int64, count=2).tolist()
-
-        def taken(kind: type, count: int) -> np.ndarray:
-            nonlocal at
-            values = np.frombuffer(data, dtype=kind, count=count, offset=at)
-            at += values.nbytes
-            return values
-
-        self.words, self.counts = taken(np.uint64, n), taken(np.int64, n)
-        self.bases, self.shares = (taken(np.float64, n * samples).reshape(n, samples) for _ in range(2))
-        self.pairs, self.own = taken(np.uint64, m), taken(np.float32, m)
+    """A chunk's words with counts, parent probabilities and shares of the parent; its pairs with what they have of their own."""
+
+    def __init__(self, files: Folder, chunk: int, seating: Seating):
+        totals, samples = seating.totals, len(seating.sampled)
+        words, keys, own = [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0)]
+        for kind, blob in files.rows(f"books/{chunk & (1 << 64) - 1:016x}"):
+            if kind:
+                words.append(unpack(blob))
+            else:
+                us, ws, u, w, c, added = unpack(blob)
+                keys.append(pair_keys(_rising(ws)[w], _rising(us)[_rising(u)]))
+                own.append(c - totals.discount * added / samples)
+        if not words:
+            raise RuntimeError("the documents changed between the passes")
+        self.words, first = np.unique(np.concatenate([_rising(x[0]) for x in words]), return_index=True)
+        self.counts, *seats = (np.concatenate([x[i] for x in words])[first].astype(np.float64) for i in range(1, 2 + 3 * samples))
+        self.bases = np.stack([root_probability(seats[3 * i], seats[3 * i + 1], *seating.sampled[i][1:], totals) for i in range(samples)], axis=1)
+        self.shares = np.stack([(STRENGTH + totals.discount * seats[3 * i + 2]) / samples for i in range(samples)], axis=1)
+        self.pairs, first = np.unique(np.concatenate(keys), return_index=True)
+        self.own, self.single = np.concatenate(own)[first], 1 - totals.discount
         self.begin = int(self._word(np.array([BEGIN]))[0])
 
     def _word(self, words: np.ndarray) -> np.ndarray:
@@ -342,16 +534,16 @@ class _Dictionary:
             raise RuntimeError("the documents changed between the passes")
         return at
 
-    def find(self, dishes: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, dishes: np.ndarray, contexts: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
         """Counts and log10 probabilities of a text's dishes."""
         at = self._word(dishes)
         before = np.append(self.begin, at[:-1])
         probability = (self.shares[before] * self.bases[at]).sum(axis=1)
-        own = self.single
+        own = self.single if train else 0.0
         if len(self.pairs):
             keys = pair_keys(dishes, contexts)
             place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            own = np.where(self.pairs[place] == keys, self.own[place], self.single)
+            own = np.where(self.pairs[place] == keys, self.own[place], own)
         # a word is followed each time it occurs, and each text begins
         known = self.counts[before]
         return self.counts[at], np.log10((own + probability) / (STRENGTH + known))
@@ -361,30 +553,28 @@ def score(documents: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) ->
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = documents.sparkSession
     own = chunked(documents)
-    asked = _asked(own.select("chunk", "train", "text").mapInArrow(_wanted, "u long, w long, chunk long, n long"))
-    seating = fit(asked, sweeps, samples)
-    totals = seating.totals
-    folder = scratch_dir(spark, "lm")
-    _dictionaries(_answers(asked, seating, samples), folder, samples, totals.discount)
-    discard(asked)
+    seating = fit(own, sweeps, samples)
+    totals, folder = seating.totals, seating.folder
+    _dictionaries(_answers(spark, seating), folder)
+    for name in ("pairs", "words", "ones", "asked", *(f"sweep{k}" for k in range(sweeps + 1))):
+        removed(spark, f"{folder}/{name}")
     n, floor = totals.n, 0.5
     denominator = math.log10(n + floor * (totals.words + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
-        now, book = None, None
+        files, now, book = Folder(folder), None, None
         for batch in batches:
-            chunks = np.asarray(batch.column(0))
+            chunks, train = np.asarray(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
             out = []
             for i, words in hashed_texts(batch.column(3)):
                 if chunks[i] != now:
                     now = chunks[i]
-                    book = _Dictionary(system, f"{base}/{int(now) & (1 << 64) - 1:016x}", samples, totals.discount)
-                counts, scores = book.find(*tokens(words))
+                    book = None
+                    book = _Dictionary(files, int(now), seating)
+                counts, scores = book.find(*tokens(words), train[i])
                 out.append((len(counts), int((counts > 0).sum()), float(np.log10(counts + floor).sum()) - len(counts) * denominator, float(scores.sum())))
-            held = pa.array(~batch.column(2).to_numpy(zero_copy_only=False))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] if out else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), held, columns[0], columns[1], pa.array(np.full(len(held), n, dtype=np.int64)), columns[2], columns[3]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(~train), columns[0], columns[1], pa.array(np.full(len(train), n, dtype=np.int64)), columns[2], columns[3]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.scratch import scratch_dir, written
 
-__all__ = ["beside", "discard", "scratch_dir", "spread", "without", "written"]
+__all__ = ["beside", "discard", "removed", "scratch_dir", "spread", "without", "written"]
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a ``written`` table that nothing will read again."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, name)
 
 
 def beside(table: DataFrame, rows: int, most: int) -> DataFrame:
