@@ -529,24 +529,36 @@ class _Dictionary:
         self.begin = int(self._word(np.array([BEGIN]))[0])
 
     def _word(self, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        at = _places(self.words, words)
         if not np.array_equal(self.words[at], words):
             raise RuntimeError("the documents changed between the passes")
         return at
 
-    def find(self, dishes: np.ndarray, contexts: np.ndarray, train: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and log10 probabilities of a text's dishes."""
+    def find(self, texts: list[np.ndarray], train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where texts end, and counts and log10 probabilities of all their dishes; ``train`` tells of each text."""
+        dishes, contexts = (np.concatenate(x) for x in zip(*map(tokens, texts), strict=True))
+        lengths = np.array([len(x) + 1 for x in texts])
+        ends = np.cumsum(lengths)
         at = self._word(dishes)
         before = np.append(self.begin, at[:-1])
+        before[ends[:-1]] = self.begin
         probability = (self.shares[before] * self.bases[at]).sum(axis=1)
-        own = self.single if train else 0.0
+        own = np.repeat(np.where(train, self.single, 0.0), lengths)
         if len(self.pairs):
             keys = pair_keys(dishes, contexts)
-            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            place = _places(self.pairs, keys)
             own = np.where(self.pairs[place] == keys, self.own[place], own)
         # a word is followed each time it occurs, and each text begins
         known = self.counts[before]
-        return self.counts[at], np.log10((own + probability) / (STRENGTH + known))
+        return ends, self.counts[at], np.log10((own + probability) / (STRENGTH + known))
+
+
+def _places(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """``np.searchsorted``, at most the last place; searching in order keeps to the cache."""
+    order = np.argsort(wanted)
+    out = np.empty(len(wanted), dtype=np.int64)
+    out[order] = np.minimum(np.searchsorted(values, wanted[order]), len(values) - 1)
+    return out
 
 
 def score(documents: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) -> DataFrame:
@@ -565,14 +577,29 @@ def score(documents: DataFrame, sweeps: int = SWEEPS, samples: int = SAMPLES) ->
         files, now, book = Folder(folder), None, None
         for batch in batches:
             chunks, train = np.asarray(batch.column(0)), batch.column(2).to_numpy(zero_copy_only=False)
-            out = []
+            out: list[tuple[int, int, float, float]] = []
+            texts: list[np.ndarray] = []
+
+            def flush() -> None:
+                if not texts:
+                    return
+                ends, counts, scores = book.find(texts, train[len(out) : len(out) + len(texts)])
+                known, base = counts > 0, np.log10(counts + floor)
+                for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out.append((end - begin, int(known[begin:end].sum()), float(base[begin:end].sum()) - (end - begin) * denominator, float(scores[begin:end].sum())))
+                texts.clear()
+
+            size = 0
             for i, words in hashed_texts(batch.column(3)):
+                if chunks[i] != now or size > 500_000:
+                    flush()
+                    size = 0
                 if chunks[i] != now:
-                    now = chunks[i]
-                    book = None
+                    now, book = chunks[i], None
                     book = _Dictionary(files, int(now), seating)
-                counts, scores = book.find(*tokens(words), train[i])
-                out.append((len(counts), int((counts > 0).sum()), float(np.log10(counts + floor).sum()) - len(counts) * denominator, float(scores.sum())))
+                texts.append(words)
+                size += len(words) + 1
+            flush()
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] if out else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(~train), columns[0], columns[1], pa.array(np.full(len(train), n, dtype=np.int64)), columns[2], columns[3]], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
