@@ -45,7 +45,7 @@ BEGIN = np.uint64(2)
 STRENGTH = 1.0
 EXACT = 64
 SWEEPS, SAMPLES = 4, 2
-CHUNK_ROWS = 16_384
+CHUNK_ROWS = 4_096
 
 
 def tokens(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +263,7 @@ def _wanted(g: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         dishes, contexts, train, test = (np.concatenate([h[i] for h in parts]) for i in range(4))
         parts.clear()
         _, first, place = np.unique(pair_keys(dishes, contexts), return_index=True, return_inverse=True)
-        return dishes[first], contexts[first], *(np.bincount(place, weights=n, minlength=len(first)).astype(np.int64) for n in (train, test))
+        return dishes[first], contexts[first], *(np.bincount(place, weights=n, minlength=len(first)).astype(np.uint32) for n in (train, test))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -272,19 +272,23 @@ def _wanted(g: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         for batch in batches:
             chunks, train = np.asarray(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             for i, words in hashed_texts(batch.column(2)):
-                if (held or merged) and (chunks[i] != now or kept > 4_000_000):
-                    yield _rows_of(now, *distinct(merged + held), g)
-                    held, merged, size, kept = [], [], 0, 0
+                if (held or merged) and (chunks[i] != now or kept > 2_000_000):
+                    merged.extend(held)
+                    held.clear()
+                    yield _rows_of(now, *distinct(merged), g)
+                    size, kept = 0, 0
                 now = int(chunks[i])
                 dishes, contexts = tokens(words)
-                of_train = np.full(len(dishes), train[i], dtype=np.int8)
+                of_train = np.full(len(dishes), train[i], dtype=np.uint32)
                 held.append((dishes, contexts, of_train, 1 - of_train))
                 size += len(dishes)
-                if size > 1_000_000:
+                if size > 500_000:
                     merged.append(distinct(held))
                     size, kept = 0, kept + len(merged[-1][0])
         if held or merged:
-            yield _rows_of(now, *distinct(merged + held), g)
+            merged.extend(held)
+            held.clear()
+            yield _rows_of(now, *distinct(merged), g)
 
     return run
 

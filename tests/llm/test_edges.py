@@ -419,3 +419,39 @@ def test_pipeline_stages(spark):
             assert sorted(r["doc_id"] for r in out.collect()) == sorted({c for _, _, c in classes(rows, partenum.Join())})
         docs = out
     assert docs.count() > 0
+
+
+def test_lm_layout_changes_nothing(spark, monkeypatch):
+    """Counts are the same in any layout of chunks, ranges and shards; scores differ by the draws alone."""
+    texts = [f"a{k} b{k} c{k % 7}" for k in range(60)] + ["", None, "a1 b1 unseen"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    plain = {r["doc_id"]: r for r in pitmanyor.score(docs).collect()}
+    assert len(plain) == len(texts)
+    monkeypatch.setattr(pitmanyor, "CHUNK_ROWS", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    try:
+        many = {r["doc_id"]: r for r in pitmanyor.score(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, r in plain.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (many[k]["n_tokens"], many[k]["n_known"], many[k]["train_tokens"])
+        assert many[k]["base_score"] == pytest.approx(r["base_score"])
+        assert many[k]["score"] == pytest.approx(r["score"], abs=0.7)
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    """Texts of fixed word pairs: the words before tell what follows."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{2 * k} w{2 * k + 1}" for k in rng.integers(0, 40, 12)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["held_out"]: r for r in pitmanyor.perplexity(pitmanyor.score(docs)).collect()}
+    assert got[True]["perplexity"] < 0.25 * got[True]["base_perplexity"]
+
+
+def test_lm_packed_integers():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 3000):
+        arrays = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)), rng.integers(0, 9, n).astype(np.uint32), rng.integers(0, 2, n).astype(np.uint8)]
+        got = pitmanyor.unpack(pitmanyor.pack(pitmanyor.rises(arrays[0]), *arrays[1:]))
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip([np.cumsum(got[0], dtype=np.uint64), *got[1:]], arrays, strict=True))
