@@ -56,6 +56,13 @@ def encode_polygon(rings: list[np.ndarray]) -> bytes:
     return b"".join(out)
 
 
+def encode_polygons(parts: list[list[np.ndarray]]) -> bytes:
+    """One part is a polygon, several are a multipolygon."""
+    if len(parts) == 1:
+        return encode_polygon(parts[0])
+    return struct.pack("<BII", 1, MULTI_POLYGON, len(parts)) + b"".join(encode_polygon(p) for p in parts)
+
+
 def bounds(parts: list[list[np.ndarray]]) -> tuple[float, float, float, float]:
     every = np.vstack([r for p in parts for r in p])
     return (*every.min(axis=0).tolist(), *every.max(axis=0).tolist())
@@ -65,3 +72,17 @@ def strip_geopackage(blob: bytes) -> bytes:
     """The WKB inside a GeoPackage geometry blob."""
     flags = blob[3]
     return blob[8 + (0, 32, 48, 48, 64)[(flags >> 1) & 7] :]
+
+
+def geopackage_envelope(blob: bytes) -> tuple[float, float, float, float] | None:
+    """The box in a GeoPackage geometry blob's header, if it has one."""
+    flags = blob[3]
+    if not (flags >> 1) & 7:
+        return None
+    x0, x1, y0, y1 = struct.unpack_from("<4d" if flags & 1 else ">4d", blob, 8)
+    return x0, y0, x1, y1
+
+
+def geopackage_blob(parts: list[list[np.ndarray]], srs: int) -> bytes:
+    x0, y0, x1, y1 = bounds(parts)
+    return b"GP" + struct.pack("<BBi4d", 0, 3, srs, x0, x1, y0, y1) + encode_polygons(parts)
