@@ -65,7 +65,7 @@ def q_shape_features(px: DataFrame) -> DataFrame:
 _FEATURES = ("area", "h_mean", "h_max", "h_std", "slenderness", "rough_mean", "rough_median", "smooth_frac", "smooth_core", "ndvi_mean", "ndvi_max", "ndvi_min", "circularity", "elongation", "rectangularity", "nearest_m")
 FEAT = f"""{RO_W}, {ND}, {MOM}, {PER}, {REC}, sm AS (SELECT r, c FROM tall JOIN ro USING (r, c) WHERE rough < 1.25), {labels_sql('sm', 'pat')},
  co AS (SELECT label, max(n) AS core FROM (SELECT lab.label, pat.label AS patch, count(*) AS n FROM lab JOIN pat USING (r, c) GROUP BY ALL) z GROUP BY label),
- zo AS (SELECT label, CAST(count(*) AS DOUBLE) AS area, avg(h) AS h_mean, max(h) AS h_max, stddev_pop(h) AS h_std, avg(rough) AS rough_mean, median(rough) AS rough_median, avg(CASE WHEN rough < 1.25 THEN 1.0 ELSE 0.0 END) AS smooth_frac, avg(ndvi) AS ndvi_mean, max(ndvi) AS ndvi_max, min(ndvi) AS ndvi_min FROM lab LEFT JOIN h USING (r, c) LEFT JOIN ro USING (r, c) LEFT JOIN nd USING (r, c) GROUP BY label),
+ zo AS (SELECT label, CAST(count(*) AS DOUBLE) AS area, avg(h) AS h_mean, max(h) AS h_max, stddev_pop(h) AS h_std, CAST(sum(CAST(rough AS DECIMAL(18, 9))) AS DOUBLE) / count(rough) AS rough_mean, median(rough) AS rough_median, avg(CASE WHEN rough < 1.25 THEN 1.0 ELSE 0.0 END) AS smooth_frac, avg(ndvi) AS ndvi_mean, max(ndvi) AS ndvi_max, min(ndvi) AS ndvi_min FROM lab LEFT JOIN h USING (r, c) LEFT JOIN ro USING (r, c) LEFT JOIN nd USING (r, c) GROUP BY label),
  ne AS (SELECT a.label, count(*) FILTER (sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) <= 50) AS neighbours_50m, min(sqrt((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c))) AS nearest_m FROM ma a JOIN ma b ON a.label <> b.label GROUP BY a.label)"""
 
 
