@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.scratch import scratch_dir, written
+from gridloom.plans.scratch import scratch_dir
+from gridloom.plans.scratch import stored as written
 
 __all__ = ["beside", "discard", "removed", "scratch_dir", "spread", "without", "written"]
 
