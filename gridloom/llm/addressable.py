@@ -22,7 +22,9 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import attrgetter
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.chunked import ChunkEncoder
 from gridloom.llm.scratch import scratch_dir, written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 MAGIC = b"DACTOKN1"
 WIDTHS = (8, 8, 16)
 BLOCK = 512
@@ -149,26 +154,44 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
 
 
+def run_codes(library: Tokenizer) -> Callable[[list[str]], dict[str, bytes]] | None:
+    """Codes of letter runs by a byte-level tokenizer's model alone; None for other tokenizers."""
+    from tokenizers import pre_tokenizers
+
+    if not isinstance(library.pre_tokenizer, pre_tokenizers.ByteLevel) or library.normalizer is not None:
+        return None
+    symbols = byte_symbols()
+    table, mark = str.maketrans(symbols), symbols[0x0A]
+    tokenize, own_id = library.model.tokenize, attrgetter("id")
+
+    def codes(runs: list[str]) -> dict[str, bytes]:
+        if not runs:
+            return {}
+        # all runs' bytes become symbols at once; no run holds a line break
+        ids, ends = [], [0]
+        for word in "\n".join(runs).encode().decode("latin-1").translate(table).split(mark):
+            ids.extend(map(own_id, tokenize(word)))
+            ends.append(4 * len(ids))
+        data = array("I", ids).tobytes()
+        return {c: data[a:b] for c, a, b in zip(runs, ends[:-1], ends[1:], strict=True)}
+
+    return codes
+
+
 def text_encoder(tokenizer: str) -> ChunkEncoder:
     """One encoder per worker process; the tokenizers library encodes each distinct chunk, runs of letters by its model alone."""
     if tokenizer not in _TEXT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(tokenizer)
         library.encode_special_tokens = True
-        model, symbols = library.model, byte_symbols()
-        byte_level = isinstance(library.pre_tokenizer, pre_tokenizers.ByteLevel) and library.normalizer is None
-        run = re.compile(f" ?[{_LETTERS}]+").fullmatch
+        run, of_runs = re.compile(f" ?[{_LETTERS}]+").fullmatch, run_codes(library)
 
         def encode(chunks: list[str]) -> list[bytes]:
-            out: dict[str, bytes] = {}
-            rest = []
-            for c in chunks:
-                if byte_level and run(c):
-                    out[c] = array("I", [t.id for t in model.tokenize(c.encode().decode("latin-1").translate(symbols))]).tobytes()
-                else:
-                    rest.append(c)
+            runs = set(filter(run, chunks)) if of_runs else set()
+            out = of_runs(list(runs)) if of_runs else {}
+            rest = [c for c in chunks if c not in runs]
             for c, e in zip(rest, library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 out[c] = array("I", e.ids).tobytes()
             return [out[c] for c in chunks]

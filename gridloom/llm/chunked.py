@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import compress
+from operator import not_
 
 PIECE = 1 << 19
 LONGEST = 64
@@ -53,17 +55,21 @@ class ChunkEncoder:
 
     def _flush(self, group: list[list[str]]) -> Iterator[bytes]:
         young = self._young
-        fresh = set().union(*group).difference(young)
+        known = [list(map(young.get, chunks)) for chunks in group]
+        # codes are never empty, so what is false is not known yet
+        gaps = [list(compress(range(len(codes)), map(not_, codes))) for codes in known]
+        fresh = {chunks[i] for chunks, gap in zip(group, gaps, strict=True) for i in gap}
         if fresh:
             self._learn(fresh)
-        get = young.__getitem__
-        codes = [b"".join(map(get, chunks)) for chunks in group]
+            for chunks, codes, gap in zip(group, known, gaps, strict=True):
+                for i in gap:
+                    codes[i] = young[chunks[i]]
         for chunk in fresh:
             if len(chunk) > LONGEST:
                 del young[chunk]
         if len(young) >= self._limit:
             self._old, self._young = young, {}
-        return iter(codes)
+        return map(b"".join, known)
 
 
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:

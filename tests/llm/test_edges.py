@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import addressable, htmlcrf, mixing, partenum, pieces, pitmanyor, quality, topk, winnowing, wordpieces
+from gridloom.llm.chunked import ChunkEncoder
 from gridloom.llm.scratch import scratch_dir
 from gridloom.llm.words import hashed_texts
 
@@ -55,6 +56,31 @@ def test_token_files(spark, docs, none):
     assert addressable.read_files(addressable.placed(addressable.write_files(none, folder)), folder).count() == 0
 
 
+def test_letter_runs_by_the_model_alone():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(addressable.default_tokenizer())
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefgzABZÀÖØöøɏßéñ"))
+    runs = sorted({" " * int(rng.integers(2)) + "".join(rng.choice(letters, int(rng.integers(1, 80)))) for _ in range(3000)})
+    codes = addressable.run_codes(library)
+    assert codes(runs) == {c: np.array(library.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in runs}
+    assert codes([]) == {}
+
+
+def test_chunk_codes_survive_generations_and_long_chunks():
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        return [c.encode() for c in chunks]
+
+    own = ChunkEncoder("[^ ]+", encode, limit=3)
+    texts = ["a b a", "", "c " + "x" * 100, "a d e", "f g a", "x" * 100]
+    assert [b for t in texts for b in own.encode([t])] == [t.replace(" ", "").encode() for t in texts]
+    assert asked.count("a") == 1 and asked.count("x" * 100) == 2
+
+
 def test_addressable_codes_any_token():
     rng = np.random.default_rng(0)
     ids = rng.choice([0, 5, 255, 256, 40_000, 70_000, 1 << 31], 3000).astype(np.uint32)
