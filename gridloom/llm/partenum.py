@@ -51,6 +51,8 @@ BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 #: taken for common changes the cost alone, never a link.
 SAMPLE_ROWS, COMMON_ROWS = 8192, 8
 LEADERS = 8
+#: Elements of a block that are matched at a time.
+RANGE_ITEMS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -244,7 +246,24 @@ def sets_of(documents: DataFrame, wanted: DataFrame, rows: int, join: Join) -> D
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, size of the intersection) for all pairs of left and right sets that share an element."""
+    """(i, j, size of the intersection) for all pairs of left and right sets (sorted) that share an element.
+
+    Elements are taken by ranges of about ``RANGE_ITEMS`` in all, so the memory beside the sets and the counts does not grow with them.
+    """
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    ranges = 1 + sum(len(s) for s in (*left, *right)) // RANGE_ITEMS
+    ends = np.arange(1, ranges, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // ranges)
+    cuts = lambda sets: [np.concatenate([[0], np.searchsorted(s, ends), [len(s)]]) for s in sets]
+    cuts_a = cuts(left)
+    cuts_b = cuts_a if right is left else cuts(right)
+    for k in range(ranges):
+        _count([s[c[k] : c[k + 1]] for s, c in zip(left, cuts_a, strict=True)], [s[c[k] : c[k + 1]] for s, c in zip(right, cuts_b, strict=True)], counts)
+    i, j = np.nonzero(counts)
+    return i, j, counts[i, j].astype(np.int64)
+
+
+def _count(left: list[np.ndarray], right: list[np.ndarray], counts: np.ndarray) -> None:
+    """Adds the sizes of the intersections to ``counts``."""
     a, b = np.concatenate(left), np.concatenate(right)
     values, place = np.unique(np.concatenate([a, b]), return_inverse=True)
     pa_, pb = place[: len(a)], place[len(a) :]
@@ -258,22 +277,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarra
     owner_a, owner_b = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
     keep_a, keep_b = both[pa_], both[pb]
     width = int(both.sum())
-    counts = np.zeros((len(left), len(right)), dtype=np.float32)
     cols_a, rows_a = number[pa_[keep_a]], owner_a[keep_a]
     cols_b, rows_b = number[pb[keep_b]], owner_b[keep_b]
     order_a, order_b = np.argsort(cols_a, kind="stable"), np.argsort(cols_b, kind="stable")
     cols_a, rows_a, cols_b, rows_b = cols_a[order_a], rows_a[order_a], cols_b[order_b], rows_b[order_b]
-    # products of 0/1 matrices over 4096 elements at a time; counts below 2**24 are exact in float32
-    for at in range(0, width, 4096):
-        sa, ea = np.searchsorted(cols_a, (at, at + 4096))
-        sb, eb = np.searchsorted(cols_b, (at, at + 4096))
-        span = min(4096, width - at)
+    # products of 0/1 matrices over 1024 elements at a time; counts below 2**24 are exact in float32
+    for at in range(0, width, 1024):
+        sa, ea = np.searchsorted(cols_a, (at, at + 1024))
+        sb, eb = np.searchsorted(cols_b, (at, at + 1024))
+        span = min(1024, width - at)
         x, y = np.zeros((len(left), span), dtype=np.float32), np.zeros((len(right), span), dtype=np.float32)
         x[rows_a[sa:ea], cols_a[sa:ea] - at] = 1
         y[rows_b[sb:eb], cols_b[sb:eb] - at] = 1
         counts += x @ y.T
-    i, j = np.nonzero(counts)
-    return i, j, counts[i, j].astype(np.int64)
 
 
 def linked(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, join: Join) -> list[tuple[int, int]]:
@@ -284,7 +300,8 @@ def linked(reps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, join: Jo
     if not len(first) or not len(second):
         return []
     sizes = np.array([len(s) for s in sets])
-    i, j, shared = overlaps([sets[k] for k in first], [sets[k] for k in second])
+    own = [sets[k] for k in first]
+    i, j, shared = overlaps(own, own if second is first else [sets[k] for k in second])
     a, b = first[i], second[j]
     ok = (a != b) & (join.den * shared >= join.num * (sizes[a] + sizes[b] - shared))
     parent = list(range(len(sets)))

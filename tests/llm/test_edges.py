@@ -125,6 +125,16 @@ def test_jaccard_classes(docs, none, join):
     assert partenum.jaccard_classes(none, join).count() == 0
 
 
+def test_overlaps_by_ranges(monkeypatch):
+    monkeypatch.setattr(partenum, "RANGE_ITEMS", 50)
+    rng = np.random.default_rng(9)
+    base = np.append(rng.integers(0, 2**64 - 1, 200, dtype=np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64))
+    sets = [np.unique(rng.choice(base, int(rng.integers(1, 150)))) for _ in range(20)]
+    for left, right in ((sets, sets), (sets[:7], sets[7:])):
+        found = {(int(i), int(j)): int(n) for i, j, n in zip(*partenum.overlaps(left, right), strict=True)}
+        assert found == {(i, j): n for i, a in enumerate(left) for j, b in enumerate(right) if (n := len(set(a.tolist()) & set(b.tolist())))}
+
+
 def test_jaccard_large_clusters_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(partenum, "BLOCK_ROWS", 4)
     rng = np.random.default_rng(5)
