@@ -31,7 +31,8 @@ class ChunkEncoder:
     def _learn(self, chunks: set[str]) -> None:
         """Puts codes of ``chunks`` into the young generation, those not known encoded now."""
         old, young = self._old, self._young
-        known = chunks.intersection(old)
+        # by the dict's keys: a set's own intersection with a dict walks the whole dict
+        known = old.keys() & chunks
         young.update((c, old[c]) for c in known)
         missing = list(chunks.difference(known))
         young.update(zip(missing, self._encode(missing), strict=True))

@@ -81,6 +81,23 @@ def test_chunk_codes_survive_generations_and_long_chunks():
     assert asked.count("a") == 1 and asked.count("x" * 100) == 2
 
 
+def test_old_chunk_codes_are_looked_up_and_not_walked():
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("all old codes are walked")
+
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        return [c.encode() for c in chunks]
+
+    own = ChunkEncoder("[^ ]+", encode)
+    own._old = Old((f"w{i}", b"%d" % i) for i in range(100))
+    assert list(own.encode(["w7 new w99 w7"])) == [b"7new997"]
+    assert asked == ["new"]
+
+
 def test_addressable_codes_any_token():
     rng = np.random.default_rng(0)
     ids = rng.choice([0, 5, 255, 256, 40_000, 70_000, 1 << 31], 3000).astype(np.uint32)
