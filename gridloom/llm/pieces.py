@@ -31,6 +31,8 @@ from gridloom.llm.scratch import spread
 SPACE = "▁"
 WIDE = 40
 NONE = np.int32(1 << 30)
+#: Words in a generation of a worker's cache: two of them are about 50 MB, 700,000 took over 200.
+KEPT_WORDS = 150_000
 
 
 class MergeVocabulary:
@@ -212,9 +214,11 @@ class PieceEncoder:
         self.verify, self.disagreed = verify, 0
         lib = self.vocabulary.library
         self._ends = np.array([lib.bos_id(), lib.eos_id()], dtype="<u4")
-        self._chunks = ChunkEncoder(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", self._words)
+        # spaces stay as they are until a word is new: with the space symbol every text and word takes two bytes a character
+        self._chunks = ChunkEncoder(f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+", self._words, KEPT_WORDS)
 
     def _words(self, words: list[str]) -> list[bytes]:
+        words = [w.replace(" ", SPACE) for w in words]
         found = self.vocabulary.words(words)
         if self.verify:
             # one call for all words of one leading space symbol, run together; word by word where that differs
@@ -232,8 +236,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         begin, end = self._ends[:1].tobytes(), self._ends[1:].tobytes()
-        normal = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-        for code in self._chunks.encode(normal):
+        for code in self._chunks.encode([f" {t}" if t else "" for t in texts]):
             yield begin + code + end
 
     def decode(self, code: bytes) -> str:
