@@ -13,8 +13,8 @@ with at most ``spare`` empty parts shares a part that is not empty with all it l
 empty parts are not signed; sets with more also sign their parts of the whole domain. And a
 set must share ``spare + 1 - empty`` signatures in all, so sets that share fewer drop out.
 
-Steps: (1) a pass gives every document its set's digest; (2) a pass sends signatures, of copies
-that a task has seen already none, and keeps those that two sets share; (3) sets that share
+Steps: (1) a pass gives every document its set's digest; (2) a pass sends signatures, packed
+by bucket and of copies that a task has seen already none, and keeps those that two sets share; (3) sets that share
 too few drop out and the rest are connected to clusters; (4) the documents that represent a
 set of a cluster are read again and the cluster is compared by exact counts in one task; of
 larger clusters every block meets a few leaders first, and only what is not connected with
@@ -31,7 +31,9 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,6 +55,10 @@ SAMPLE_ROWS, COMMON_ROWS = 8192, 8
 LEADERS = 8
 #: Elements of a block that are matched at a time.
 RANGE_ITEMS = 1 << 17
+#: Signatures that a task packs at a time, and those of a bucket, about.
+PACKED_SIGNATURES, BUCKET_SIGNATURES = 1 << 19, 1 << 17
+#: Bytes of the batches that go to Python, which an executor's JVM and its worker both hold.
+BATCH_BYTES = "4m"
 
 
 @dataclass(frozen=True)
@@ -155,15 +161,57 @@ def common_shingles(documents: DataFrame, rows: int, join: Join) -> np.ndarray:
     return np.sort(np.array([r["item"] for r in counted.select("item").collect()], dtype=np.int64).view(np.uint64))
 
 
-def shared_signatures(documents: DataFrame, join: Join, common: np.ndarray) -> DataFrame:
-    """(sig, k1, role): the signatures that two sets share, once for each set."""
+def bucket_count(shingles_: int, join: Join) -> int:
+    """Buckets for the signatures of sets with so many elements in all, about ``BUCKET_SIGNATURES`` in each; any count gives the same rows."""
+    differing = 2 * (join.den - join.num) / (join.den + join.num)
+    return 1 + min(1 << 24, int(2.2 * differing * (1 + 1 / join.spare) * shingles_) // BUCKET_SIGNATURES)
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """(bucket, sigs, keys, roles): a row for each bucket that the signatures meet, its columns as bytes."""
+    sigs, keys, roles = (np.concatenate(x) for x in zip(*held, strict=True))
+    bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(starts, len(order))
+    blobs = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x[order])])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), blobs(sigs.view(np.int64)), blobs(keys), blobs(roles)], ["bucket", "sigs", "keys", "roles"])
+
+
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    """A copy of the numbers in a column of bytes, row after row."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].copy().view(kind)
+
+
+def _of_two(sigs: np.ndarray, keys: np.ndarray, roles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures that two keys share, once for each key, in order."""
+    order = np.argsort(sigs)
+    same = np.diff(sigs[order]) == 0
+    order = order[np.append(same, False) | np.append(False, same)]
+    order = order[np.lexsort((keys[order], sigs[order]))]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (np.diff(sigs[order]) != 0) | (np.diff(keys[order]) != 0)
+    order = order[first]
+    same = np.diff(sigs[order]) == 0
+    order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    return sigs[order], keys[order], roles[order]
+
+
+def shared_signatures(documents: DataFrame, join: Join, common: np.ndarray, buckets: int = 1) -> DataFrame:
+    """(sig, k1, role): the signatures that two sets share, once for each set.
+
+    Signatures travel packed by bucket (their upper bits): as rows they would fill an executor's heap.
+    """
     schema = pa.schema([("sig", pa.int64()), ("k1", pa.int64()), ("role", pa.int32())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        held, n = [], 0
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
-                sigs, keys, roles = [], [], []
                 for _, words in hashed_texts(whole.column(0).slice(at, 128)):
                     items = shingles(words, join.n)
                     if not len(items) or (key := _digest(items)) in seen:
@@ -172,39 +220,34 @@ def shared_signatures(documents: DataFrame, join: Join, common: np.ndarray) -> D
                         seen.clear()
                     seen.add(key)
                     own, role = join.signatures(items, common)
-                    sigs.append(own)
-                    keys.append(np.full(len(own), key[0], dtype=np.int64))
-                    roles.append(role)
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles))], schema=schema)
+                    held.append((own, np.full(len(own), key[0], dtype=np.int64), role))
+                    n += len(own)
+                    if n >= PACKED_SIGNATURES:
+                        yield _packed(held, buckets)
+                        held, n = [], 0
+        if n:
+            yield _packed(held, buckets)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows are in order; the last row of a batch waits for the next one
-        last: np.ndarray | None = None
-        told = False  # whether the last row has been given
+        # rows are in order of their bucket; the last bucket of a batch may go on in the next one
+        held, last = [], None
+        found = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in _of_two(*(np.concatenate(x) for x in zip(*held, strict=True)))], schema=schema)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
-            if last is not None:
-                rows = np.concatenate([last, rows], axis=1)
-            new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
-            rows = rows[:, new]
-            start = np.append(True, rows[0, 1:] != rows[0, :-1])
-            end = np.append(start[1:], True)
-            kept = ~(start & end)
-            waits, last = kept[-1], rows[:, -1:]
-            if told and rows.shape[1]:
-                kept[0] = False
-            if rows.shape[1] == 1:
-                waits = told
-            told = bool(waits)
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0, kept]), pa.array(rows[1, kept]), pa.array(rows[2, kept].astype(np.int32))], schema=schema)
-
-    spelled = "sig long, k1 long, role int"
-    sent = _texts(documents).select("text").mapInArrow(sign, spelled).repartition("sig").sortWithinPartitions("sig", "k1")
-    return written(sent.mapInArrow(shared, spelled), "shared")
+            bucket = np.asarray(batch.column(0))
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for a, b in itertools.pairwise(cuts):
+                if held and bucket[a] != last:
+                    yield found()
+                    held = []
+                last = bucket[a]
+                held.append(tuple(_unpacked(batch.column(i).slice(a, b - a), kind) for i, kind in ((1, np.int64), (2, np.int64), (3, np.int32))))
+        if held:
+            yield found()
+
+    sent = _texts(documents).select("text").mapInArrow(sign, "bucket int, sigs binary, keys binary, roles binary").repartition("bucket").sortWithinPartitions("bucket")
+    return written(sent.mapInArrow(shared, "sig long, k1 long, role int"), "shared")
 
 
 def clusters(shared: DataFrame) -> DataFrame:
@@ -370,12 +413,31 @@ def links(documents: DataFrame, groups: DataFrame, join: Join) -> DataFrame:
     return out.unionByName(first).unionByName(second)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most about ``BATCH_BYTES`` go to Python meanwhile."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def jaccard_classes(documents: DataFrame, join: Join) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set), component_id."""
+    with _small_batches(documents.sparkSession):
+        return _jaccard_classes(documents, join)
+
+
+def _jaccard_classes(documents: DataFrame, join: Join) -> DataFrame:
+    """All that runs Python is written before it returns."""
     table = written(digests(documents, join), "digests")
-    common = common_shingles(documents, table.count(), join)
+    size = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
+    common = common_shingles(documents, size["rows"], join)
     classes = written(table.where("n_shingles > 0").groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep")), "classes")
-    shared = shared_signatures(documents, join, common)
+    shared = shared_signatures(documents, join, common, bucket_count(size["shingles"], join))
     near = clusters(shared)
     groups = classes.where("rep is not null").join(near, F.col("k1") == F.col("node")).select(F.col("component").alias("grp"), "rep", "k1", "k2", "n")
     groups = written(groups, "clustered")
